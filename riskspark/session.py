@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -71,3 +72,34 @@ def env_cpus(default: int = 8) -> int:
         return int(os.environ.get("BENCH_CPUS", default))
     except ValueError:
         return default
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskspark`` importable in Python workers (executors) via ``addPyFile``.
+
+    Needed only where executor-side Python runs our code (``mapInPandas``).
+    The zip is written to the shared folder once per SparkContext.
+    """
+    import io
+    import pathlib
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for p in root.rglob("*.py"):
+            zf.write(p, str(p.relative_to(root.parent)))
+    target = scratch_path(spark, "pyfiles") + "/riskspark.zip"
+    jvm_path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    fs = jvm_path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(jvm_path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(id(sc))
