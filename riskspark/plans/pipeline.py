@@ -9,9 +9,11 @@ Fits (each one aggregate, scalars back to the driver):
 Everything between fits is narrow: filters and projections that Catalyst
 collapses into one whole-stage-generated stage over the scan.
 
-``materialize=True`` writes the cleaned table to the shared folder once, so
-fits 3-5 and the final transform read Parquet instead of re-running the
-upstream joins (and so a lost executor costs one file, not the lineage).
+Fits 3-5 read the same projection and are fused into one aggregate, so a
+fit is three passes. A derived input (joins/aggregates in its plan) is
+written once to the shared folder first, so those passes and the final
+transform re-read Parquet instead of re-running the upstream joins (and a
+lost executor costs one file, not the lineage).
 """
 
 from __future__ import annotations
@@ -40,17 +42,69 @@ def cleaned(loans_df: DataFrame, missing: C.MissingPlan, winsor: C.WinsorBounds)
     return C.finalize(C.apply_winsor(C.apply_missing(loans_df, missing), winsor))
 
 
-def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool = False):
-    missing = C.fit_missing(loans_df)
-    after_missing = C.apply_missing(loans_df, missing)
-    winsor = C.fit_winsor(after_missing, accuracy=accuracy)
+def is_plain_scan(df: DataFrame) -> bool:
+    """True when the plan is a file scan with projections/filters only (cheap to re-read)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(op in plan for op in ("Join", "Aggregate", "Window", "Generate", "Union"))
+
+
+def fit_features(clean_df: DataFrame, accuracy: int | None = None):
+    """Fits 3-5 fused: interaction cuts, one-hot levels and scaler statistics in ONE aggregate.
+
+    The scaler's ten numeric features do not depend on the interaction flags,
+    so all three fits read the same base-feature projection in one pass.
+    """
+    from pyspark.sql import functions as F
+
+    from riskspark.functions.columns import col
+    from riskspark.functions.stats import quantile_expr
+
+    base = FE.base_features(clean_df)
+    aggs = []
+    want_q = [c for c in ("dti_n", "loan_amnt", "fico_n") if c in base.columns]
+    for i, c in enumerate(want_q):
+        aggs.append(quantile_expr(col(c), [0.25, 0.75], accuracy).alias(f"q{i}"))
+    text_levels = [c for c in K.CATEGORICAL_FEATURES if c in base.columns and c not in E.DECLARED_LEVELS]
+    for i, c in enumerate(text_levels):
+        aggs.append(F.array_sort(F.collect_set(col(c))).alias(f"l{i}"))
+    num = [c for c in K.NUMERIC_FEATURES if c in base.columns]
+    for i, c in enumerate(num):
+        aggs += [F.avg(col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(col(c).cast("double")).alias(f"s{i}")]
+    row = base.agg(*aggs).first()
+    q = {c: row[f"q{i}"] for i, c in enumerate(want_q)}
+    cuts = FE.InteractionCuts(q["dti_n"][1] if q.get("dti_n") else None,
+                              q["loan_amnt"][1] if q.get("loan_amnt") else None,
+                              q["fico_n"][0] if q.get("fico_n") else None)
+    levels = {}
+    for c in K.CATEGORICAL_FEATURES:
+        if c in E.DECLARED_LEVELS and c in base.columns:
+            levels[c] = list(E.DECLARED_LEVELS[c])
+        elif c in text_levels:
+            vals = [str(v) for v in row[f"l{text_levels.index(c)}"]]
+            if len(vals) > E.MAX_LEVELS:
+                raise ValueError(f"{c}: {len(vals)} levels exceed {E.MAX_LEVELS}; not a categorical column")
+            levels[c] = vals
+    mean = {c: row[f"m{i}"] for i, c in enumerate(num)}
+    std = {c: (row[f"s{i}"] if row[f"s{i}"] not in (None, 0.0) else 1.0) for i, c in enumerate(num)}
+    return cuts, levels, E.ScalerParams(mean, std)
+
+
+def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | None = None):
+    """Fit the whole pipeline: three passes over the data, each one aggregate.
+
+    ``materialize`` (default: automatic) writes a derived input -- one whose
+    plan has joins or aggregates, like the ``loans`` view -- to the shared
+    folder once, so the passes re-read Parquet instead of re-running the joins.
+    A plain file scan is read directly.
+    """
+    if materialize is None:
+        materialize = not is_plain_scan(loans_df)
+    source = write_shared(loans_df, "loans-input") if materialize else loans_df
+    missing = C.fit_missing(source)                                   # pass 1
+    after_missing = C.apply_missing(source, missing)
+    winsor = C.fit_winsor(after_missing, accuracy=accuracy)           # pass 2
     clean_df = C.finalize(C.apply_winsor(after_missing, winsor))
-    if materialize:
-        clean_df = write_shared(clean_df, "cleaned")
-    cuts = FE.fit_interactions(clean_df, accuracy=accuracy)
-    selected = FE.select_features(FE.engineer(clean_df, cuts))
-    levels = E.fit_levels(selected)
-    scaler = E.fit_scaler(selected)
+    cuts, levels, scaler = fit_features(clean_df, accuracy=accuracy)  # pass 3 (fits 3-5 fused)
     return FittedPipeline(missing, winsor, cuts, levels, scaler), clean_df
 
 
@@ -60,7 +114,7 @@ def transform_clean(clean_df: DataFrame, fitted: FittedPipeline, scale: bool = T
     return E.apply_scaler(encoded, fitted.scaler) if scale else encoded
 
 
-def engineered(loans_df: DataFrame, accuracy: int | None = None, materialize: bool = False,
+def engineered(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | None = None,
                scale: bool = True) -> tuple[DataFrame, FittedPipeline]:
     """The 43-feature table (key ``id`` first, target ``Default``) and its fitted parameters."""
     fitted, clean_df = fit(loans_df, accuracy=accuracy, materialize=materialize)
