@@ -25,14 +25,51 @@ def quantile_expr(c: Column, probs: Sequence[float], accuracy: int | None = None
     return F.percentile_approx(c.cast("double"), arr, accuracy)
 
 
-def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                  accuracy: int | None = None) -> dict[str, list[float | None]]:
-    """All columns x all probabilities in ONE aggregate (one scan, one tiny row back)."""
+MAX_EXACT_DISTINCT = 1_000_000
+
+
+def distinct_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """HyperLogLog distinct-count estimate of every column, one pass, fixed-size state."""
     if not columns:
         return {}
-    row = df.agg(*[quantile_expr(col(c), probs, accuracy).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
-            for i, c in enumerate(columns)}
+    row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    return {c: int(row[f"d{i}"]) for i, c in enumerate(columns)}
+
+
+def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                  accuracy: int | None = None, distinct: dict[str, int] | None = None,
+                  max_exact_distinct: int = MAX_EXACT_DISTINCT) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles of many columns (or a sketch with ``accuracy``).
+
+    Columns whose distinct count is at most ``max_exact_distinct`` use the
+    ``percentile`` aggregate -- all of them in ONE pass; its state is a
+    value -> count map, bounded by that distinct count. Columns above it
+    use the distributed rank method (``ranks.exact_quantiles_by_rank``), so no
+    task ever holds an unbounded map. ``distinct`` may carry estimates from an
+    earlier pass (an upper bound is fine); otherwise one HLL pass decides.
+    """
+    cols = list(columns)
+    if not cols:
+        return {}
+    if accuracy is not None:
+        row = df.agg(*[quantile_expr(col(c), probs, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(cols)}
+    est = dict(distinct or {})
+    missing = [c for c in cols if c not in est]
+    est.update(distinct_estimates(df, missing))
+    small = [c for c in cols if est[c] <= max_exact_distinct]
+    big = [c for c in cols if est[c] > max_exact_distinct]
+    out: dict[str, list[float | None]] = {}
+    if small:
+        row = df.agg(*[quantile_expr(col(c), probs).alias(f"q{i}") for i, c in enumerate(small)]).first()
+        out.update({c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                    for i, c in enumerate(small)})
+    if big:
+        from riskspark.functions.ranks import exact_quantiles_by_rank
+
+        out.update(exact_quantiles_by_rank(df, big, probs))
+    return {c: out[c] for c in cols}
 
 
 def adjusted_skewness(g1: Column, n: Column) -> Column:

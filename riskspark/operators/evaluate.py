@@ -1,15 +1,11 @@
 """Model evaluation E1-E12 on a scored table ``(model, split, label, p)``.
 
 AUC, KS and the ROC curve all come from one cumulative table built without a
-global window (which would pull every row into one task):
-
-1. collapse ties: ``groupBy(groups, p)`` -> positives / negatives per score
-   (partial aggregation first, so a hot score is one row before the shuffle);
-2. bucket each distinct score by value, ``floor(p * B)`` -- a function of the
-   value, so a recomputed task lands every row in the same bucket;
-3. bucket totals (at most B+1 rows per group, a bounded table) get their
-   running offsets from a small window and are broadcast back;
-4. a window per (group, bucket) finishes the running sums.
+global window (which would pull every row into one task): ties are collapsed
+with ``groupBy(groups, p)`` (map-side first, so a score shared by a third of
+all rows is one row before the shuffle), then ``ranks.cumulative_by_value``
+computes the running positive / negative counts with value buckets whose
+edges are approximate quantiles -- balanced however the scores are spread.
 """
 
 from __future__ import annotations
@@ -21,35 +17,22 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import constants as K
 from riskspark.functions.columns import r6
+from riskspark.functions.ranks import cumulative_by_value
 
 GROUPS = ("model", "split")
-BUCKETS = 4096
 METRICS = ["auc", "gini", "ks", "accuracy", "precision", "recall", "f1"]
 
 
-def cumulative_table(scored: DataFrame, groups: Sequence[str] = GROUPS, buckets: int = BUCKETS,
-                     label: str = "label", score: str = "p") -> DataFrame:
+def cumulative_table(scored: DataFrame, groups: Sequence[str] = GROUPS, label: str = "label",
+                     score: str = "p", rows_per_bucket: int | None = None) -> DataFrame:
     """One row per (group, distinct score): pos, neg, pos_below, neg_below, tot_pos, tot_neg."""
     g = list(groups)
     ties = scored.filter(F.col(score).isNotNull()).groupBy(*g, F.col(score).alias("p")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    bucket = F.least(F.greatest(F.floor(F.col("p") * buckets), F.lit(0)), F.lit(buckets)).cast("int")
-    ties = ties.withColumn("_bk", bucket)
-    totals = ties.groupBy(*g, "_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wb = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*g)
-    offsets = totals.select(
-        *g, "_bk",
-        F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"),
-        F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"),
-        F.sum("_bp").over(wall).alias("tot_pos"), F.sum("_bn").over(wall).alias("tot_neg"))
-    joined = ties.join(F.broadcast(offsets), [*g, "_bk"])
-    wi = Window.partitionBy(*g, "_bk").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select(
-        *g, "p", "pos", "neg",
-        (F.col("_op") + F.coalesce(F.sum("pos").over(wi), F.lit(0))).alias("pos_below"),
-        (F.col("_on") + F.coalesce(F.sum("neg").over(wi), F.lit(0))).alias("neg_below"),
-        "tot_pos", "tot_neg")
+    kw = {} if rows_per_bucket is None else {"rows_per_bucket": rows_per_bucket}
+    cum = cumulative_by_value(ties, g, "p", ["pos", "neg"], **kw)
+    return cum.select(*g, "p", "pos", "neg", "pos_below", "neg_below",
+                      F.col("pos_total").alias("tot_pos"), F.col("neg_total").alias("tot_neg"))
 
 
 def ranking_metrics(cum: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
@@ -104,17 +87,16 @@ def ks_band(k: Column) -> Column:
     return out.otherwise(F.lit(K.KS_ELSE))
 
 
-def metrics(scored: DataFrame, groups: Sequence[str] = GROUPS, buckets: int = BUCKETS) -> DataFrame:
+def metrics(scored: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     """All metrics per (model, split), unrounded."""
-    rank = ranking_metrics(cumulative_table(scored, groups, buckets), groups)
+    rank = ranking_metrics(cumulative_table(scored, groups), groups)
     thr = threshold_metrics(scored, groups)
     return rank.join(thr, list(groups))
 
 
-def model_comparison(scored: DataFrame, model_order: Sequence[str] | None = None,
-                     buckets: int = BUCKETS) -> DataFrame:
+def model_comparison(scored: DataFrame, model_order: Sequence[str] | None = None) -> DataFrame:
     """One row per model, val_* and test_* metrics, test confusion counts, bands."""
-    m = metrics(scored, GROUPS, buckets)
+    m = metrics(scored, GROUPS)
     aggs = []
     for s in ("val", "test"):
         for name in METRICS:

@@ -239,26 +239,26 @@ def statistical_summary(df: DataFrame, columns: Sequence[str] | None = None,
                         accuracy: int | None = None) -> DataFrame:
     """Count, mean, std (n-1), min, quartiles, max, G1, G2 per numeric column.
 
-    One aggregate for every column and every statistic; then unpivot.
+    Quartiles come from ``fit_quantiles`` (exact, scale-safe); every other
+    statistic of every column is ONE aggregate; then unpivot.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
+    quart = fit_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
     aggs = []
     for i, c in enumerate(cols):
         x = col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if accuracy is None else
-                  F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)).alias(f"q{i}"),
                  F.skewness(x).alias(f"g1{i}"), F.kurtosis(x).alias(f"g2{i}")]
     wide = df.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
         n = F.col(f"n{i}")
+        q = [F.lit(v).cast("double") for v in quart[c]]
         rows.append(F.struct(
             F.lit(c).alias("column_name"), n.cast("bigint").alias("count"), r6(F.col(f"m{i}")).alias("mean"),
             r6(F.col(f"s{i}")).alias("std"), r6(F.col(f"lo{i}")).alias("min"),
-            r6(F.col(f"q{i}")[0]).alias("p25"), r6(F.col(f"q{i}")[1]).alias("p50"),
-            r6(F.col(f"q{i}")[2]).alias("p75"), r6(F.col(f"hi{i}")).alias("max"),
+            r6(q[0]).alias("p25"), r6(q[1]).alias("p50"), r6(q[2]).alias("p75"), r6(F.col(f"hi{i}")).alias("max"),
             r6(adjusted_skewness(F.col(f"g1{i}"), n)).alias("skewness"),
             r6(adjusted_kurtosis(F.col(f"g2{i}"), n)).alias("kurtosis")))
     return wide.select(F.inline(F.array(*rows)))

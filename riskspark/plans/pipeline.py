@@ -48,7 +48,7 @@ def is_plain_scan(df: DataFrame) -> bool:
     return not any(op in plan for op in ("Join", "Aggregate", "Window", "Generate", "Union"))
 
 
-def fit_features(clean_df: DataFrame, accuracy: int | None = None):
+def fit_features(clean_df: DataFrame, accuracy: int | None = None, distinct: dict[str, int] | None = None):
     """Fits 3-5 fused: interaction cuts, one-hot levels and scaler statistics in ONE aggregate.
 
     The scaler's ten numeric features do not depend on the interaction flags,
@@ -59,10 +59,15 @@ def fit_features(clean_df: DataFrame, accuracy: int | None = None):
     from riskspark.functions.columns import col
     from riskspark.functions.stats import quantile_expr
 
+    from riskspark.functions.stats import MAX_EXACT_DISTINCT, fit_quantiles
+
     base = FE.base_features(clean_df)
     aggs = []
     want_q = [c for c in ("dti_n", "loan_amnt", "fico_n") if c in base.columns]
-    for i, c in enumerate(want_q):
+    est = distinct or {}
+    # low-cardinality (or sketched) quantiles ride in the fused pass; others use the rank method
+    fused_q = [c for c in want_q if accuracy is not None or est.get(c, MAX_EXACT_DISTINCT + 1) <= MAX_EXACT_DISTINCT]
+    for i, c in enumerate(fused_q):
         aggs.append(quantile_expr(col(c), [0.25, 0.75], accuracy).alias(f"q{i}"))
     text_levels = [c for c in K.CATEGORICAL_FEATURES if c in base.columns and c not in E.DECLARED_LEVELS]
     for i, c in enumerate(text_levels):
@@ -71,7 +76,9 @@ def fit_features(clean_df: DataFrame, accuracy: int | None = None):
     for i, c in enumerate(num):
         aggs += [F.avg(col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(col(c).cast("double")).alias(f"s{i}")]
     row = base.agg(*aggs).first()
-    q = {c: row[f"q{i}"] for i, c in enumerate(want_q)}
+    q = {c: row[f"q{i}"] for i, c in enumerate(fused_q)}
+    rest = [c for c in want_q if c not in fused_q]
+    q.update(fit_quantiles(base, rest, [0.25, 0.75], distinct=est))
     cuts = FE.InteractionCuts(q["dti_n"][1] if q.get("dti_n") else None,
                               q["loan_amnt"][1] if q.get("loan_amnt") else None,
                               q["fico_n"][0] if q.get("fico_n") else None)
@@ -102,9 +109,9 @@ def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | No
     source = write_shared(loans_df, "loans-input") if materialize else loans_df
     missing = C.fit_missing(source)                                   # pass 1
     after_missing = C.apply_missing(source, missing)
-    winsor = C.fit_winsor(after_missing, accuracy=accuracy)           # pass 2
+    winsor = C.fit_winsor(after_missing, accuracy=accuracy, distinct=missing.distinct)   # pass 2
     clean_df = C.finalize(C.apply_winsor(after_missing, winsor))
-    cuts, levels, scaler = fit_features(clean_df, accuracy=accuracy)  # pass 3 (fits 3-5 fused)
+    cuts, levels, scaler = fit_features(clean_df, accuracy=accuracy, distinct=missing.distinct)  # pass 3
     return FittedPipeline(missing, winsor, cuts, levels, scaler), clean_df
 
 
