@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskspark.functions import constants as K
 from riskspark.functions.columns import clip, col, is_text, numeric_columns
 from riskspark.functions.stats import fit_quantiles
+from riskspark.session import reusable
 
 
 @dataclass
@@ -95,6 +96,7 @@ def apply_winsor(df: DataFrame, fitted: WinsorBounds) -> DataFrame:
 
 
 def winsorize(df: DataFrame, **kw) -> DataFrame:
+    df = reusable(df, "winsor-input")  # fit passes + apply: a derived input is written once
     return apply_winsor(df, fit_winsor(df, **kw))
 
 
@@ -110,6 +112,7 @@ def finalize(df: DataFrame, target: str = K.TARGET, exclude: Sequence[str] = ())
 
 def clean(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """C2-C4 -> C8 -> C13-C14, the cleaning phase as one lazy plan (two fits)."""
+    df = reusable(df, "clean-input")
     plan = fit_missing(df)
     missing_done = apply_missing(df, plan)
     return finalize(apply_winsor(missing_done, fit_winsor(missing_done, accuracy=accuracy, distinct=plan.distinct)))

@@ -87,11 +87,29 @@ def ks_band(k: Column) -> Column:
     return out.otherwise(F.lit(K.KS_ELSE))
 
 
+def threshold_metrics_from_cum(cum: DataFrame, groups: Sequence[str] = GROUPS,
+                               threshold: float = K.DECISION_THRESHOLD) -> DataFrame:
+    """E5-E6 from the per-score table: predicted positive = scores above the threshold."""
+    above = F.col("p") > F.lit(threshold)
+    agg = cum.groupBy(*groups).agg(
+        F.sum(F.when(~above, F.col("neg")).otherwise(0)).cast("bigint").alias("tn"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("bigint").alias("fp"),
+        F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("bigint").alias("fn"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("bigint").alias("tp"))
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    precision = _ratio(tp, tp + fp)
+    recall = _ratio(tp, tp + fn)
+    return agg.select(*groups, "tn", "fp", "fn", "tp",
+                      _ratio(tp + tn, tn + fp + fn + tp).alias("accuracy"), precision.alias("precision"),
+                      recall.alias("recall"),
+                      _ratio(F.lit(2.0) * precision * recall, precision + recall).alias("f1"))
+
+
 def metrics(scored: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
-    """All metrics per (model, split), unrounded."""
-    rank = ranking_metrics(cumulative_table(scored, groups), groups)
-    thr = threshold_metrics(scored, groups)
-    return rank.join(thr, list(groups))
+    """All metrics per (model, split), unrounded -- one read of the scored table: ranking and
+    threshold metrics both come from the checkpointed per-score table."""
+    cum = cumulative_table(scored, groups)
+    return ranking_metrics(cum, groups).join(threshold_metrics_from_cum(cum, groups), list(groups))
 
 
 def model_comparison(scored: DataFrame, model_order: Sequence[str] | None = None) -> DataFrame:

@@ -15,10 +15,7 @@ from pyspark.sql import functions as F
 from riskspark.functions import constants as K
 from riskspark.functions.columns import col, is_numeric, is_text, numeric_columns, r6, text_columns, type_class
 from riskspark.functions.stats import adjusted_kurtosis, adjusted_skewness, fit_quantiles
-
-
-def _lit_row(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+from riskspark.session import reusable
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -196,6 +193,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, factor: fl
                  accuracy: int | None = None) -> DataFrame:
     """Outliers strictly outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR]; zero-count columns omitted,
     top ``top`` by percent. Pass 1: all quartiles in one aggregate; pass 2: all counts in one."""
+    df = reusable(df, "iqr-input")  # three passes below: a derived input is written once
     cols = list(columns) if columns is not None else numeric_columns(df, exclude)
     q = fit_quantiles(df, cols, [0.25, 0.75], accuracy)
     bounds = {}
@@ -242,6 +240,7 @@ def statistical_summary(df: DataFrame, columns: Sequence[str] | None = None,
     Quartiles come from ``fit_quantiles`` (exact, scale-safe); every other
     statistic of every column is ONE aggregate; then unpivot.
     """
+    df = reusable(df, "summary-input")  # several passes below: a derived input is written once
     cols = list(columns) if columns is not None else numeric_columns(df)
     quart = fit_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
     aggs = []

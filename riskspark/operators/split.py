@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import constants as K
 from riskspark.functions.columns import col, r6
+from riskspark.session import reusable, shared_dir
 
 
 def split_hash(key: Column, seed: int = K.RANDOM_STATE) -> Column:
@@ -55,11 +56,20 @@ def split_sizes(counts: dict, test_size: float = K.TEST_SIZE, val_size: float =
 
 def stratified_split(df: DataFrame, key: str = K.KEY, label: str = K.TARGET, seed: int = K.RANDOM_STATE,
                      test_size: float = K.TEST_SIZE, val_size: float = K.VAL_SIZE,
-                     prefix_len: int = 4) -> DataFrame:
-    """M1: ``df`` plus a ``split`` column in {train, val, test}."""
+                     prefix_len: int = 4, materialize: bool | None = None) -> DataFrame:
+    """M1: ``df`` plus a ``split`` column in {train, val, test}.
+
+    Input passes: one for the bucket counts (checkpointed: a bounded table of
+    at most 16^prefix_len rows per class), then the final plan reads the input
+    in two branches -- all rows of whole-split buckets (no shuffle) and the
+    straddling buckets (ranked). A derived input is written once first.
+    """
+    src = reusable(df, "split-input", materialize)
+    shared_dir(src.sparkSession)
     h = split_hash(col(key), seed)
-    hashed = df.select("*", h.alias("_h"), F.substring(h, 1, prefix_len).alias("_b"))
-    buckets = hashed.groupBy(col(label).alias("_lab"), F.col("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
+    hashed = src.select("*", h.alias("_h"), F.substring(h, 1, prefix_len).alias("_b"))
+    buckets = (hashed.groupBy(col(label).alias("_lab"), F.col("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
+               .checkpoint(eager=True))
     class_rows = buckets.groupBy("_lab").agg(F.sum("_cnt").alias("n")).collect()  # one row per class
     sizes = split_sizes({r["_lab"]: int(r["n"]) for r in class_rows}, test_size, val_size)
 
@@ -76,12 +86,11 @@ def stratified_split(df: DataFrame, key: str = K.KEY, label: str = K.TARGET, see
         test_cut.alias("_tcut"), val_cut.alias("_vcut"))
     lo, hi = F.col("_before"), F.col("_before") + F.col("_cnt")
     offsets = offsets.select(
-        "_lab", "_b", "_before", "_tcut", "_vcut",
+        "_lab", F.col("_b").alias("_ob"), "_before", "_tcut", "_vcut",
         F.when(hi <= F.col("_tcut"), "test")
         .when((lo >= F.col("_tcut")) & (hi <= F.col("_vcut")), "val")
         .when(lo >= F.col("_vcut"), "train").alias("_whole"))
 
-    offsets = offsets.withColumnRenamed("_b", "_ob")
     joined = hashed.join(F.broadcast(offsets), (col(label) == F.col("_lab")) & (F.col("_b") == F.col("_ob")))
     whole = joined.filter(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
     cut = joined.filter(F.col("_whole").isNull())

@@ -26,7 +26,7 @@ from riskspark.functions import constants as K
 from riskspark.operators import clean as C
 from riskspark.operators import encode as E
 from riskspark.operators import features as FE
-from riskspark.session import materialize as write_shared
+from riskspark.session import reusable
 
 
 @dataclass
@@ -42,12 +42,6 @@ def cleaned(loans_df: DataFrame, missing: C.MissingPlan, winsor: C.WinsorBounds)
     return C.finalize(C.apply_winsor(C.apply_missing(loans_df, missing), winsor))
 
 
-def is_plain_scan(df: DataFrame) -> bool:
-    """True when the plan is a file scan with projections/filters only (cheap to re-read)."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(op in plan for op in ("Join", "Aggregate", "Window", "Generate", "Union"))
-
-
 def fit_features(clean_df: DataFrame, accuracy: int | None = None, distinct: dict[str, int] | None = None):
     """Fits 3-5 fused: interaction cuts, one-hot levels and scaler statistics in ONE aggregate.
 
@@ -104,9 +98,7 @@ def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | No
     folder once, so the passes re-read Parquet instead of re-running the joins.
     A plain file scan is read directly.
     """
-    if materialize is None:
-        materialize = not is_plain_scan(loans_df)
-    source = write_shared(loans_df, "loans-input") if materialize else loans_df
+    source = reusable(loans_df, "loans-input", materialize)
     missing = C.fit_missing(source)                                   # pass 1
     after_missing = C.apply_missing(source, missing)
     winsor = C.fit_winsor(after_missing, accuracy=accuracy, distinct=missing.distinct)   # pass 2

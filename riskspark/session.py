@@ -67,6 +67,20 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+def is_plain_scan(df) -> bool:
+    """True when the plan is a file scan with projections/filters only (cheap to re-read)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(op in plan for op in ("Join", "Aggregate", "Window", "Generate", "Union"))
+
+
+def reusable(df, name: str, materialize: bool | None = None):
+    """Input for an operator that reads it several times: a derived plan is written once
+    to the shared folder (auto), a plain file scan is used as is."""
+    if materialize is None:
+        materialize = not is_plain_scan(df)
+    return globals()["materialize"](df, name) if materialize else df
+
+
 def env_cpus(default: int = 8) -> int:
     try:
         return int(os.environ.get("BENCH_CPUS", default))
