@@ -27,17 +27,15 @@ class MissingPlan:
     distinct: dict[str, int] = field(default_factory=dict)  # HLL estimates of numeric columns (upper bounds later)
 
 
-def fit_missing(df: DataFrame, drop_pct: float = K.DROP_COLUMN_MISSING_PCT,
-                act_pct: float = K.ACT_ON_MISSING_PCT) -> MissingPlan:
-    """C2-C4 decisions from ONE null-count aggregate (percentages before any drop).
-
-    The same pass estimates the distinct count of every numeric column (HLL,
-    fixed-size state); later quantile fits use them to pick the exact method.
-    """
+def _missing_aggs(df: DataFrame) -> list:
     nums = numeric_columns(df)
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(col(c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)]
     aggs += [F.approx_count_distinct(col(c)).alias(f"_d{i}") for i, c in enumerate(nums)]
-    row = df.agg(*aggs).first()
+    return aggs
+
+
+def _plan_from_counts(df: DataFrame, row, drop_pct: float, act_pct: float) -> MissingPlan:
+    nums = numeric_columns(df)
     n = row["_rows"]
     plan = MissingPlan(distinct={c: int(row[f"_d{i}"]) for i, c in enumerate(nums)})
     if not n:
@@ -54,6 +52,45 @@ def fit_missing(df: DataFrame, drop_pct: float = K.DROP_COLUMN_MISSING_PCT,
     return plan
 
 
+def fit_missing(df: DataFrame, drop_pct: float = K.DROP_COLUMN_MISSING_PCT,
+                act_pct: float = K.ACT_ON_MISSING_PCT) -> MissingPlan:
+    """C2-C4 decisions from ONE null-count aggregate (percentages before any drop).
+
+    The same pass estimates the distinct count of every numeric column (HLL,
+    fixed-size state); later quantile fits use them to pick the exact method.
+    """
+    return _plan_from_counts(df, df.agg(*_missing_aggs(df)).first(), drop_pct, act_pct)
+
+
+def materialize_and_fit_missing(df: DataFrame, name: str, drop_pct: float = K.DROP_COLUMN_MISSING_PCT,
+                                act_pct: float = K.ACT_ON_MISSING_PCT) -> tuple[DataFrame, MissingPlan]:
+    """Write a derived input to the shared folder AND fit C2-C4 in the same pass.
+
+    ``DataFrame.observe`` computes the null counts and HLL estimates while the
+    write action runs, so materializing costs no extra read of the input.
+    """
+    from pyspark.sql import Observation
+
+    from riskspark.session import scratch_path, shared_dir
+
+    shared_dir(df.sparkSession)
+    obs = Observation(name)
+    path = scratch_path(df.sparkSession, name)
+    df.observe(obs, *_missing_aggs(df)).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path), _plan_from_counts(df, obs.get, drop_pct, act_pct)
+
+
+def fit_missing_once(df: DataFrame, name: str = "loans-input", materialize: bool | None = None):
+    """(input to read from now on, missing plan): a derived input is written once, fitted on the way."""
+    from riskspark.session import is_plain_scan
+
+    if materialize is None:
+        materialize = not is_plain_scan(df)
+    if materialize:
+        return materialize_and_fit_missing(df, name)
+    return df, fit_missing(df)
+
+
 def apply_missing(df: DataFrame, plan: MissingPlan) -> DataFrame:
     out = df.drop(*plan.drop_columns) if plan.drop_columns else df
     if plan.dropna_columns:
@@ -112,7 +149,6 @@ def finalize(df: DataFrame, target: str = K.TARGET, exclude: Sequence[str] = ())
 
 def clean(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """C2-C4 -> C8 -> C13-C14, the cleaning phase as one lazy plan (two fits)."""
-    df = reusable(df, "clean-input")
-    plan = fit_missing(df)
+    df, plan = fit_missing_once(df, "clean-input")
     missing_done = apply_missing(df, plan)
     return finalize(apply_winsor(missing_done, fit_winsor(missing_done, accuracy=accuracy, distinct=plan.distinct)))

@@ -237,30 +237,37 @@ def statistical_summary(df: DataFrame, columns: Sequence[str] | None = None,
                         accuracy: int | None = None) -> DataFrame:
     """Count, mean, std (n-1), min, quartiles, max, G1, G2 per numeric column.
 
-    Quartiles come from ``fit_quantiles`` (exact, scale-safe); every other
-    statistic of every column is ONE aggregate; then unpivot.
+    Two passes whatever the number of columns: (1) every moment of every
+    column plus an HLL distinct estimate, one aggregate; (2) the quartiles,
+    exact, by the method the estimate allows (see ``fit_quantiles``). The
+    report is the unpivot of the two one-row results.
     """
-    df = reusable(df, "summary-input")  # several passes below: a derived input is written once
+    df = reusable(df, "summary-input")  # two passes below: a derived input is written once
     cols = list(columns) if columns is not None else numeric_columns(df)
-    quart = fit_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
     aggs = []
     for i, c in enumerate(cols):
         x = col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.skewness(x).alias(f"g1{i}"), F.kurtosis(x).alias(f"g2{i}")]
-    wide = df.agg(*aggs)
-    rows = []
+                 F.skewness(x).alias(f"g1{i}"), F.kurtosis(x).alias(f"g2{i}"),
+                 F.approx_count_distinct(x).alias(f"d{i}")]
+    row = df.agg(*aggs).first()
+    quart = fit_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy,
+                          distinct={c: int(row[f"d{i}"]) for i, c in enumerate(cols)})
+    spark = df.sparkSession
+    lit_rows = []
     for i, c in enumerate(cols):
-        n = F.col(f"n{i}")
-        q = [F.lit(v).cast("double") for v in quart[c]]
-        rows.append(F.struct(
-            F.lit(c).alias("column_name"), n.cast("bigint").alias("count"), r6(F.col(f"m{i}")).alias("mean"),
-            r6(F.col(f"s{i}")).alias("std"), r6(F.col(f"lo{i}")).alias("min"),
-            r6(q[0]).alias("p25"), r6(q[1]).alias("p50"), r6(q[2]).alias("p75"), r6(F.col(f"hi{i}")).alias("max"),
-            r6(adjusted_skewness(F.col(f"g1{i}"), n)).alias("skewness"),
-            r6(adjusted_kurtosis(F.col(f"g2{i}"), n)).alias("kurtosis")))
-    return wide.select(F.inline(F.array(*rows)))
+        lit_rows.append((c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"], *quart[c], row[f"hi{i}"],
+                         row[f"g1{i}"], row[f"g2{i}"]))
+    wide = spark.createDataFrame(lit_rows, "column_name string, n long, m double, s double, lo double, "
+                                           "p25 double, p50 double, p75 double, hi double, g1 double, g2 double")
+    n = F.col("n")
+    return wide.select(
+        "column_name", n.cast("bigint").alias("count"), r6(F.col("m")).alias("mean"), r6(F.col("s")).alias("std"),
+        r6(F.col("lo")).alias("min"), r6(F.col("p25")).alias("p25"), r6(F.col("p50")).alias("p50"),
+        r6(F.col("p75")).alias("p75"), r6(F.col("hi")).alias("max"),
+        r6(adjusted_skewness(F.col("g1"), n)).alias("skewness"),
+        r6(adjusted_kurtosis(F.col("g2"), n)).alias("kurtosis"))
 
 
 def top_std(summary: DataFrame, k: int = 5) -> DataFrame:

@@ -25,7 +25,7 @@ from riskspark.operators import features as FE
 from riskspark.operators import profile as P
 from riskspark.operators import split as S
 from riskspark.plans import pipeline as PL
-from riskspark.session import scratch_path
+from riskspark.session import reusable, scratch_path
 from riskspark.sources import loans as L
 
 MODEL_A = "Logistic Regression"
@@ -44,12 +44,21 @@ def loans(spark: SparkSession, sf: str) -> DataFrame:
     return L.loans(spark, sf)
 
 
+def _missing_fit(spark, sf):
+    """The loans input (written once to the shared folder: every caller makes several passes)
+    and its missing-value plan, which also carries the distinct estimates for later fits."""
+    return C.fit_missing_once(loans(spark, sf), "loans-input")
+
+
 def after_missing(spark, sf) -> DataFrame:
-    return C.clean_missing(loans(spark, sf))
+    src, plan = _missing_fit(spark, sf)
+    return C.apply_missing(src, plan)
 
 
 def winsorized(spark, sf) -> DataFrame:
-    return C.winsorize(after_missing(spark, sf))
+    src, plan = _missing_fit(spark, sf)
+    am = C.apply_missing(src, plan)
+    return C.apply_winsor(am, C.fit_winsor(am, distinct=plan.distinct))
 
 
 def clean_final(spark, sf) -> DataFrame:

@@ -26,7 +26,6 @@ from riskspark.functions import constants as K
 from riskspark.operators import clean as C
 from riskspark.operators import encode as E
 from riskspark.operators import features as FE
-from riskspark.session import reusable
 
 
 @dataclass
@@ -98,8 +97,7 @@ def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | No
     folder once, so the passes re-read Parquet instead of re-running the joins.
     A plain file scan is read directly.
     """
-    source = reusable(loans_df, "loans-input", materialize)
-    missing = C.fit_missing(source)                                   # pass 1
+    source, missing = C.fit_missing_once(loans_df, "loans-input", materialize)   # pass 1 (+ write if derived)
     after_missing = C.apply_missing(source, missing)
     winsor = C.fit_winsor(after_missing, accuracy=accuracy, distinct=missing.distinct)   # pass 2
     clean_df = C.finalize(C.apply_winsor(after_missing, winsor))
