@@ -64,20 +64,16 @@ def fit_missing(df: DataFrame, drop_pct: float = K.DROP_COLUMN_MISSING_PCT,
 
 def materialize_and_fit_missing(df: DataFrame, name: str, drop_pct: float = K.DROP_COLUMN_MISSING_PCT,
                                 act_pct: float = K.ACT_ON_MISSING_PCT) -> tuple[DataFrame, MissingPlan]:
-    """Write a derived input to the shared folder AND fit C2-C4 in the same pass.
+    """Write a derived input to the shared folder, then fit C2-C4 on the Parquet copy.
 
-    ``DataFrame.observe`` computes the null counts and HLL estimates while the
-    write action runs, so materializing costs no extra read of the input.
+    (Fusing the two with ``DataFrame.observe`` would save the scan, but on
+    Spark 4.1 an observed session can no longer serialize MLlib transforms,
+    so the fit reads the written files instead.)
     """
-    from pyspark.sql import Observation
+    from riskspark.session import materialize
 
-    from riskspark.session import scratch_path, shared_dir
-
-    shared_dir(df.sparkSession)
-    obs = Observation(name)
-    path = scratch_path(df.sparkSession, name)
-    df.observe(obs, *_missing_aggs(df)).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path), _plan_from_counts(df, obs.get, drop_pct, act_pct)
+    src = materialize(df, name)
+    return src, fit_missing(src, drop_pct, act_pct)
 
 
 def fit_missing_once(df: DataFrame, name: str = "loans-input", materialize: bool | None = None):
