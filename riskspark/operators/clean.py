@@ -24,20 +24,18 @@ class MissingPlan:
     dropna_columns: list[str] = field(default_factory=list)
     fill_columns: list[str] = field(default_factory=list)
     fill_value: str = K.TEXT_FILL
-    distinct: dict[str, int] = field(default_factory=dict)  # HLL estimates of numeric columns (upper bounds later)
+    distinct: dict[str, int] = field(default_factory=dict)  # HLL estimate per column (an upper bound later on)
 
 
 def _missing_aggs(df: DataFrame) -> list:
-    nums = numeric_columns(df)
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(col(c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)]
-    aggs += [F.approx_count_distinct(col(c)).alias(f"_d{i}") for i, c in enumerate(nums)]
+    aggs += [F.approx_count_distinct(col(c)).alias(f"_d{i}") for i, c in enumerate(df.columns)]
     return aggs
 
 
 def _plan_from_counts(df: DataFrame, row, drop_pct: float, act_pct: float) -> MissingPlan:
-    nums = numeric_columns(df)
     n = row["_rows"]
-    plan = MissingPlan(distinct={c: int(row[f"_d{i}"]) for i, c in enumerate(nums)})
+    plan = MissingPlan(distinct={c: int(row[f"_d{i}"]) for i, c in enumerate(df.columns)})
     if not n:
         return plan
     for i, f in enumerate(df.schema.fields):
@@ -56,8 +54,9 @@ def fit_missing(df: DataFrame, drop_pct: float = K.DROP_COLUMN_MISSING_PCT,
                 act_pct: float = K.ACT_ON_MISSING_PCT) -> MissingPlan:
     """C2-C4 decisions from ONE null-count aggregate (percentages before any drop).
 
-    The same pass estimates the distinct count of every numeric column (HLL,
-    fixed-size state); later quantile fits use them to pick the exact method.
+    The same pass estimates the distinct count of every column (HLL, fixed-size
+    state): later quantile fits use them to pick the exact method, the one-hot
+    fit to refuse a high-cardinality column before collecting its levels.
     """
     return _plan_from_counts(df, df.agg(*_missing_aggs(df)).first(), drop_pct, act_pct)
 

@@ -63,6 +63,9 @@ def fit_features(clean_df: DataFrame, accuracy: int | None = None, distinct: dic
     for i, c in enumerate(fused_q):
         aggs.append(quantile_expr(col(c), [0.25, 0.75], accuracy).alias(f"q{i}"))
     text_levels = [c for c in K.CATEGORICAL_FEATURES if c in base.columns and c not in E.DECLARED_LEVELS]
+    for c in text_levels:  # collect_set state is bounded only for a categorical column: check first
+        if est.get(c, 0) > 2 * E.MAX_LEVELS:
+            raise ValueError(f"{c}: ~{est[c]} distinct values; not a categorical column for one-hot encoding")
     for i, c in enumerate(text_levels):
         aggs.append(F.array_sort(F.collect_set(col(c))).alias(f"l{i}"))
     num = [c for c in K.NUMERIC_FEATURES if c in base.columns]

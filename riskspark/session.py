@@ -9,6 +9,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings for a large cluster (set by the launcher; listed here as the design point).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",                      # runtime re-plan: join strategy, coalescing
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",  # shuffle partitions sized to executor memory
+    "spark.sql.adaptive.skewJoin.enabled": "true",             # split skewed join partitions
+    "spark.sql.shuffle.partitions": "8000",                    # initial; AQE coalesces down
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",             # size-checked broadcasts only
+    "spark.sql.execution.arrow.pyspark.enabled": "true",       # mapInPandas batches
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    "spark.ui.enabled": "false",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "riskspark") -> SparkSession:
     """Session for tests and the bench. A cluster session comes from the launcher."""
     builder = (
