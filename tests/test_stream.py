@@ -45,3 +45,16 @@ def test_sinks_roundtrip(spark):
     a = [r.prediction for r in tm.model.transform(data.withColumn("label", F.col("Default").cast("double"))).collect()]
     b = [r.prediction for r in again.transform(data.withColumn("label", F.col("Default").cast("double"))).collect()]
     assert a == b
+
+
+def test_stream_restart_is_idempotent(spark, sf_small):
+    apps = C.applications(spark, sf_small)
+    scaler = C.scaler(spark, sf_small)
+    base = scratch_path(spark, "stream-restart")
+    apps.repartition(2).write.parquet(f"{base}/in")
+    for _ in range(2):  # the second run finds every file committed in the checkpoint
+        q = STR.start(STR.application_stream(spark, f"{base}/in"), scaler, SC.COEFFICIENTS, SC.INTERCEPT,
+                      f"{base}/dec", f"{base}/rej", f"{base}/ck", with_timestamp=False)
+        q.awaitTermination()
+    dec = spark.read.parquet(f"{base}/dec")
+    assert dec.count() == dec.select("application_id").distinct().count()
