@@ -18,34 +18,58 @@ from riskspark.functions.stats import adjusted_kurtosis, adjusted_skewness, fit_
 from riskspark.session import reusable
 
 
+def _fingerprint(df: DataFrame) -> list:
+    """128-bit row fingerprint plus a null mask (hash functions skip NULLs, the mask tells them apart)."""
+    cols = [col(c) for c in df.columns]
+    mask = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols]) if cols else F.lit("")
+    return [F.xxhash64(*cols).alias("_h1"), F.xxhash64(*reversed(cols), F.lit(0x5EED)).alias("_h2"),
+            mask.alias("_nm")]
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row (NULL equals NULL). One shuffle on all columns."""
-    return _grouped_profile(df).select("duplicate_rows", "distinct_rows")
+    """Rows that repeat an earlier row (NULL equals NULL), exact, without shuffling whole rows.
+
+    1. shuffle only fingerprints: ``groupBy(h1, h2, null mask).count()`` (map-side
+       combined, so a row repeated a third of the table is one record per task);
+    2. rows whose fingerprint occurs more than once are the only candidates:
+       a left-semi join (AQE broadcasts the candidate set when it is small);
+    3. the candidates are grouped by their full content -- so a fingerprint
+       collision can never merge two different rows -- and counted exactly.
+    """
+    fp = df.select("*", *_fingerprint(df))
+    keys = ["_h1", "_h2", "_nm"]
+    per_fp = fp.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    totals = per_fp.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()["rows"]
+    repeated = per_fp.filter(F.col("_n") > 1).select(*keys)
+    candidates = fp.join(repeated, keys, "left_semi").drop(*keys)
+    dup = candidates.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d")).first()["d"]
+    spark = df.sparkSession
+    return spark.createDataFrame([(int(dup), int(totals) - int(dup))], "duplicate_rows bigint, distinct_rows bigint")
 
 
 def _grouped_profile(df: DataFrame, target: str | None = None) -> DataFrame:
-    """ONE row with everything the structural reports need, from ONE shuffle.
+    """ONE row with everything the structural reports need.
 
-    ``groupBy(all columns).count()`` aggregates map-side first, so a row
-    repeated a third of the table collapses before the shuffle instead of
-    landing on one reducer. Non-null counts are then sums of group sizes over
-    groups where the column is set, so the duplicate check and the column
-    profile share the pass.
+    Column counts (and target statistics) are one shuffle-free aggregate over
+    the scan; duplicates come from ``duplicate_count`` (fingerprints only).
+    Both results are single rows of scalars, assembled into one row.
     """
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
-    aggs = [F.sum(n).alias("_rows"), F.count(F.lit(1)).alias("distinct_rows"),
-            F.sum(n - 1).alias("duplicate_rows")]
-    aggs += [F.sum(F.when(col(c).isNotNull(), n)).alias(f"_nn{i}") for i, c in enumerate(df.columns)]
-    if target is not None and target in df.columns:
-        aggs += [F.sum(F.when(col(target) == 1, n)).alias("_pos"),
-                 F.sum(col(target).cast("double") * n).alias("_tsum"),
-                 F.sum(F.when(col(target).isNotNull(), n)).alias("_tn")]
-    return groups.agg(*aggs).select(
-        *[F.coalesce(F.col(a), F.lit(0)).cast("bigint").alias(a)
-          for a in ["_rows", "distinct_rows", "duplicate_rows"] + [f"_nn{i}" for i in range(len(df.columns))]],
-        *([F.coalesce(F.col("_pos"), F.lit(0)).cast("bigint").alias("_pos"),
-           (F.col("_tsum") / F.col("_tn")).alias("_rate")] if target is not None and target in df.columns else []))
+    aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(col(c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)]
+    with_target = target is not None and target in df.columns
+    if with_target:
+        aggs += [F.count_if(col(target) == 1).alias("_pos"), F.avg(col(target).cast("double")).alias("_rate")]
+    counts = df.agg(*aggs).first()
+    dup = duplicate_count(df).first()
+    names = ["_rows", "distinct_rows", "duplicate_rows"] + [f"_nn{i}" for i in range(len(df.columns))]
+    values = [counts["_rows"], dup["distinct_rows"], dup["duplicate_rows"]] + [counts[f"_nn{i}"]
+                                                                              for i in range(len(df.columns))]
+    schema = ", ".join(f"{n} bigint" for n in names)
+    if with_target:
+        names += ["_pos", "_rate"]
+        values += [counts["_pos"], counts["_rate"]]
+        schema += ", _pos bigint, _rate double"
+    return df.sparkSession.createDataFrame([tuple(int(v) if isinstance(v, int) else v for v in values)], schema)
 
 
 def _base_counts(df: DataFrame) -> DataFrame:

@@ -102,3 +102,9 @@ def test_iqr_strict_bounds(spark):
     df = spark.createDataFrame(rows, "x double")
     out = P.iqr_outliers(df, exclude=()).collect()
     assert len(out) == 1 and out[0]["outliers"] == 1
+
+
+def test_null_positions_are_not_duplicates(spark):
+    df = spark.createDataFrame([(None, 1), (1, None), (1, None), (None, None)], "a long, b long")
+    r = P.duplicate_count(df).first()
+    assert (r["duplicate_rows"], r["distinct_rows"]) == (1, 3)
