@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions import constants as K
-from riskspark.functions.columns import col, is_numeric, is_text, numeric_columns, r6, text_columns, type_class
+from riskspark.functions.columns import col, is_text, numeric_columns, r6, text_columns, type_class
 from riskspark.functions.stats import adjusted_kurtosis, adjusted_skewness, fit_quantiles
 from riskspark.session import reusable
 
