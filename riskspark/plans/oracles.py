@@ -611,6 +611,8 @@ def _sql() -> dict[str, str]:
         f"{rec} AS recommendation, CASE WHEN {_count_non_null(rfac)} = 0 THEN {s(K.NO_FACTORS)} "
         f"ELSE concat_ws('|', {', '.join(rfac)}) END AS risk_factors "
         f"FROM (SELECT *, {PD_FULL} AS pd FROM serving_scaled) t")
+    # the stream decides exactly the batch's applications: same statement
+    o["stream_decisions"] = o["decisions"]
     cat_n, _, _ = _risk("pd")
     o["score_numeric_only"] = W(f"SELECT application_id, {R6('pd')} AS pd, {cat_n} AS risk_category "
                                 f"FROM (SELECT application_id, {PD_NUM} AS pd FROM serving_scaled) t")

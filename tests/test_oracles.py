@@ -48,7 +48,7 @@ def test_every_query_registered_with_oracle_or_rows_only():
     assert set(o) <= set(q)
     rows_only = set(q) - set(o)
     assert rows_only == {"train_lr", "tune_lr", "train_gbt", "training_runs", "evaluate_trained",
-                         "tree_attribution", "tree_importance", "stream_decisions"}
+                         "tree_attribution", "tree_importance"}
 
 
 def test_entry_runs(spark):
