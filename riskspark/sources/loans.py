@@ -69,6 +69,18 @@ def _pick(labels: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), (index + 1).cast("int"))
 
 
+def _calendar_date(df: DataFrame, name: str) -> Column:
+    """The stored wall-clock date of a timestamp column, whatever the session time zone.
+
+    Parquet timestamps without a zone read as TIMESTAMP_NTZ (cast is zone-free);
+    if a session reads them as zone-aware instead, take the UTC day number.
+    """
+    dt = df.schema[name].dataType
+    if isinstance(dt, T.TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_micros(F.col(name)) / F.lit(86_400_000_000)).cast("int"))
+    return F.col(name).cast("date")
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``loans`` view (FIXTURES.md section 2) as a DataFrame plan.
 
@@ -102,7 +114,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = F.col("c_mktsegment")
     staged = base.select(
         ok.alias("id"),
-        F.col("o_orderdate").cast("date").cast("string").alias("issue_d"),
+        _calendar_date(orders, "o_orderdate").cast("string").alias("issue_d"),
         revenue.alias("revenue"),
         dti.alias("dti_n"),
         loan_amnt.alias("loan_amnt"),
