@@ -193,3 +193,13 @@ def _purpose_levels() -> list[str]:
 
 
 SERVING_PURPOSE_LEVELS = _purpose_levels()
+
+
+def features(df: DataFrame, profile: str = "training", cuts: InteractionCuts | None = None) -> DataFrame:
+    """The feature groups under one name: ``training`` (F1-F15 on a loan table; interaction
+    cuts fitted here unless given) or ``serving`` (D5 on an application table)."""
+    if profile == "serving":
+        return serving_features(df)
+    if profile != "training":
+        raise ValueError("profile must be 'training' or 'serving'")
+    return engineer(df, cuts if cuts is not None else fit_interactions(df))

@@ -92,19 +92,37 @@ def fit_features(clean_df: DataFrame, accuracy: int | None = None, distinct: dic
     return cuts, levels, E.ScalerParams(mean, std)
 
 
-def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | None = None):
+def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | None = None,
+        fit_on: str = "all"):
     """Fit the whole pipeline: three passes over the data, each one aggregate.
 
-    ``materialize`` (default: automatic) writes a derived input -- one whose
-    plan has joins or aggregates, like the ``loans`` view -- to the shared
-    folder once, so the passes re-read Parquet instead of re-running the joins.
-    A plain file scan is read directly.
+    A derived input -- one whose plan has joins or aggregates, like the
+    ``loans`` view -- is written once to the shared folder first and the
+    passes re-read Parquet; a plain file scan is read directly.
+
+    ``fit_on="all"`` fits winsor bounds, interaction cuts and the scaler on
+    every row (parity with the studied pipeline, which fits before it
+    splits); ``fit_on="train"`` fits them on the training split only (no
+    leakage into validation/test). Column decisions (missing-value plan,
+    one-hot levels) always see the whole table.
     """
+    if fit_on not in ("all", "train"):
+        raise ValueError("fit_on must be 'all' or 'train'")
     source, missing = C.fit_missing_once(loans_df, "loans-input", materialize)   # pass 1 (+ write if derived)
     after_missing = C.apply_missing(source, missing)
-    winsor = C.fit_winsor(after_missing, accuracy=accuracy, distinct=missing.distinct)   # pass 2
+    fit_rows = after_missing
+    if fit_on == "train":
+        from pyspark.sql import functions as F
+
+        from riskspark.operators.split import stratified_split
+
+        fit_rows = stratified_split(after_missing).filter(F.col("split") == "train").drop("split")
+    winsor = C.fit_winsor(fit_rows, accuracy=accuracy, distinct=missing.distinct)   # pass 2
     clean_df = C.finalize(C.apply_winsor(after_missing, winsor))
-    cuts, levels, scaler = fit_features(clean_df, accuracy=accuracy, distinct=missing.distinct)  # pass 3
+    fit_clean = clean_df if fit_on == "all" else C.finalize(C.apply_winsor(fit_rows, winsor))
+    cuts, levels, scaler = fit_features(fit_clean, accuracy=accuracy, distinct=missing.distinct)  # pass 3
+    if fit_on == "train":  # levels are a column decision: take them from the whole table
+        _, levels, _ = fit_features(clean_df, accuracy=accuracy, distinct=missing.distinct)
     return FittedPipeline(missing, winsor, cuts, levels, scaler), clean_df
 
 
@@ -115,9 +133,9 @@ def transform_clean(clean_df: DataFrame, fitted: FittedPipeline, scale: bool = T
 
 
 def engineered(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | None = None,
-               scale: bool = True) -> tuple[DataFrame, FittedPipeline]:
+               scale: bool = True, fit_on: str = "all") -> tuple[DataFrame, FittedPipeline]:
     """The 43-feature table (key ``id`` first, target ``Default``) and its fitted parameters."""
-    fitted, clean_df = fit(loans_df, accuracy=accuracy, materialize=materialize)
+    fitted, clean_df = fit(loans_df, accuracy=accuracy, materialize=materialize, fit_on=fit_on)
     return transform_clean(clean_df, fitted, scale=scale), fitted
 
 
