@@ -115,6 +115,16 @@ def scaler(spark, sf) -> E.ScalerParams:
     return fitted.scaler
 
 
+def served(spark, sf):
+    """(applications, stored scaler): the applications read from the copy the fit already wrote."""
+    fitted, _ = fitted_pipeline(spark, sf)
+    return L.applications(fitted.source), fitted.scaler
+
+
+def _valid(apps: DataFrame) -> DataFrame:
+    return D.validate(apps).filter(F.col("is_valid") == 1).drop("errors", "is_valid", "high_dti_warning")
+
+
 # ---- S: sources and sinks ---------------------------------------------------
 
 def q_scan_loans(spark, sf):
@@ -369,12 +379,14 @@ def q_serving_features(spark, sf):
 
 
 def q_score_applications(spark, sf):
-    s = D.score_serving(valid_applications(spark, sf), scaler(spark, sf), SC.COEFFICIENTS, SC.INTERCEPT)
+    apps, sc = served(spark, sf)
+    s = D.score_serving(_valid(apps), sc, SC.COEFFICIENTS, SC.INTERCEPT)
     return s.select("application_id", r6(F.col("pd")).alias("pd"))
 
 
 def q_risk_category(spark, sf):
-    s = D.score_serving(valid_applications(spark, sf), scaler(spark, sf), SC.COEFFICIENTS, SC.INTERCEPT)
+    apps, sc = served(spark, sf)
+    s = D.score_serving(_valid(apps), sc, SC.COEFFICIENTS, SC.INTERCEPT)
     cat, conf, rec = D.risk_band(F.col("pd"))
     return s.select("application_id", r6(F.col("pd")).alias("pd"), cat.alias("risk_category"),
                     conf.alias("confidence_score"), rec.alias("recommendation"))
@@ -393,13 +405,14 @@ def q_risk_factors_basic(spark, sf):
 
 
 def q_decisions(spark, sf):
-    d = D.decisions(applications(spark, sf), scaler(spark, sf), SC.COEFFICIENTS, SC.INTERCEPT, with_timestamp=False)
+    apps, sc = served(spark, sf)
+    d = D.decisions(apps, sc, SC.COEFFICIENTS, SC.INTERCEPT, with_timestamp=False)
     return d.withColumn("risk_factors", F.concat_ws("|", "risk_factors"))
 
 
 def q_score_numeric_only(spark, sf):
-    s = D.score_serving(valid_applications(spark, sf), scaler(spark, sf), SC.NUMERIC_COEFFICIENTS,
-                        SC.NUMERIC_INTERCEPT)
+    apps, sc = served(spark, sf)
+    s = D.score_serving(_valid(apps), sc, SC.NUMERIC_COEFFICIENTS, SC.NUMERIC_INTERCEPT)
     cat, _, _ = D.risk_band(F.col("pd"))
     return s.select("application_id", r6(F.col("pd")).alias("pd"), cat.alias("risk_category"))
 
@@ -523,8 +536,9 @@ def q_stream_decisions(spark, sf):
     from riskspark.streaming import decisions as STR
 
     base = scratch_path(spark, "stream")
-    applications(spark, sf).write.mode("overwrite").parquet(f"{base}/incoming")
-    q = STR.start(STR.application_stream(spark, f"{base}/incoming"), scaler(spark, sf), SC.COEFFICIENTS,
+    apps, sc = served(spark, sf)
+    apps.write.mode("overwrite").parquet(f"{base}/incoming")
+    q = STR.start(STR.application_stream(spark, f"{base}/incoming"), sc, SC.COEFFICIENTS,
                   SC.INTERCEPT, f"{base}/decisions", f"{base}/rejected", f"{base}/_checkpoint",
                   with_timestamp=False)
     q.awaitTermination()

@@ -35,6 +35,7 @@ class FittedPipeline:
     cuts: FE.InteractionCuts
     levels: dict[str, list[str]]
     scaler: E.ScalerParams
+    source: DataFrame | None = None  # the input as the fits read it (the shared-folder copy if derived)
 
 
 def cleaned(loans_df: DataFrame, missing: C.MissingPlan, winsor: C.WinsorBounds) -> DataFrame:
@@ -123,7 +124,7 @@ def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | No
     cuts, levels, scaler = fit_features(fit_clean, accuracy=accuracy, distinct=missing.distinct)  # pass 3
     if fit_on == "train":  # levels are a column decision: take them from the whole table
         _, levels, _ = fit_features(clean_df, accuracy=accuracy, distinct=missing.distinct)
-    return FittedPipeline(missing, winsor, cuts, levels, scaler), clean_df
+    return FittedPipeline(missing, winsor, cuts, levels, scaler, source), clean_df
 
 
 def transform_clean(clean_df: DataFrame, fitted: FittedPipeline, scale: bool = True) -> DataFrame:
