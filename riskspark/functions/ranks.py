@@ -48,7 +48,8 @@ def cumulative_by_value(df: DataFrame, groups: Sequence[str], value: str, sums:
         t = t.withColumn("_bk", F.lit(0.0))
     else:
         probs = [i / n_buckets for i in range(1, n_buckets)]
-        edges = sorted(set(x for x in t.approxQuantile(value, probs, 1.0 / (4 * n_buckets)) if x == x))
+        edges = sorted(set(x for x in t.approxQuantile(value, probs, 1.0 / (4 * n_buckets))
+                           if x == x and abs(x) != float("inf")))  # splits must stay strictly increasing
         splits = [-float("inf")] + edges + [float("inf")]
         t = Bucketizer(splits=splits, inputCol=value, outputCol="_bk", handleInvalid="keep").transform(
             t.withColumn(value, F.col(value).cast("double")) if dict(t.dtypes)[value] != "double" else t)

@@ -34,3 +34,12 @@ def test_cumulative_by_value_matches_brute_force(spark):
         below = sum(c for v, c in by_g[r["g"]] if v < r["v"])
         assert r["c_below"] == below
         assert r["c_total"] == sum(c for _, c in by_g[r["g"]])
+
+
+def test_infinite_values_and_many_buckets(spark):
+    inf = float("inf")
+    rows = [("g", v, 1) for v in [-inf, -inf, 1.0, 2.0, 3.0, inf, inf, inf]]
+    df = spark.createDataFrame(rows, "g string, v double, c long")
+    ties = df.groupBy("g", "v").agg(F.sum("c").alias("c"))
+    out = {r["v"]: r["c_below"] for r in R.cumulative_by_value(ties, ["g"], "v", ["c"], rows_per_bucket=1).collect()}
+    assert out == {-inf: 0, 1.0: 2, 2.0: 3, 3.0: 4, inf: 5}
