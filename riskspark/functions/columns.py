@@ -21,6 +21,11 @@ def r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6) + F.lit(0.0)
 
 
+def safe_div(num: Column, den: Column) -> Column:
+    """num / den, NULL when den is 0 or NULL (ANSI division by zero would abort the whole query)."""
+    return F.when(den != 0, num / den)
+
+
 def flag(cond: Column) -> Column:
     """0/1 integer flag; a NULL comparison counts as false (as NaN comparisons do)."""
     return F.coalesce(cond.cast("int"), F.lit(0))

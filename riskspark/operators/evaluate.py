@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions import constants as K
-from riskspark.functions.columns import r6
+from riskspark.functions.columns import r6, safe_div
 from riskspark.functions.ranks import cumulative_by_value
 
 GROUPS = ("model", "split")
@@ -38,9 +38,10 @@ def cumulative_table(scored: DataFrame, groups: Sequence[str] = GROUPS, label: s
 def ranking_metrics(cum: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     """Exact AUC (ties count 1/2), Gini = 2 AUC - 1, KS = max(TPR - FPR, 0)."""
     P, N = F.col("tot_pos").cast("double"), F.col("tot_neg").cast("double")
-    tpr = (F.col("tot_pos") - F.col("pos_below")) / P
-    fpr = (F.col("tot_neg") - F.col("neg_below")) / N
-    auc = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))) / (F.max(P) * F.max(N))
+    tpr = safe_div(F.col("tot_pos") - F.col("pos_below"), P)
+    fpr = safe_div(F.col("tot_neg") - F.col("neg_below"), N)
+    # a group with a single class has no AUC (NULL for that group, not an error for all)
+    auc = safe_div(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))), F.max(P) * F.max(N))
     return cum.groupBy(*groups).agg(auc.alias("auc"), F.greatest(F.max(tpr - fpr), F.lit(0.0)).alias("ks")).select(
         *groups, "auc", (F.lit(2.0) * F.col("auc") - F.lit(1.0)).alias("gini"), "ks")
 
@@ -48,8 +49,8 @@ def ranking_metrics(cum: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame
 def roc_curve(cum: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score: rates of scores >= threshold."""
     return cum.select(*groups, r6(F.col("p")).alias("threshold"),
-                      r6((F.col("tot_neg") - F.col("neg_below")) / F.col("tot_neg")).alias("fpr"),
-                      r6((F.col("tot_pos") - F.col("pos_below")) / F.col("tot_pos")).alias("tpr"))
+                      r6(safe_div(F.col("tot_neg") - F.col("neg_below"), F.col("tot_neg"))).alias("fpr"),
+                      r6(safe_div(F.col("tot_pos") - F.col("pos_below"), F.col("tot_pos"))).alias("tpr"))
 
 
 def _ratio(num: Column, den: Column) -> Column:

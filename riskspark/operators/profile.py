@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions import constants as K
-from riskspark.functions.columns import col, is_text, numeric_columns, r6, text_columns, type_class
+from riskspark.functions.columns import col, is_text, numeric_columns, r6, safe_div, text_columns, type_class
 from riskspark.functions.stats import adjusted_kurtosis, adjusted_skewness, fit_quantiles
 from riskspark.session import reusable
 
@@ -112,7 +112,7 @@ def validate_structure(df: DataFrame, target: str = K.TARGET,
         ("duplicate_rows", F.col("duplicate_rows").cast("double"), F.lit(0.0), n * F.lit(dup_max_share),
          F.col("duplicate_rows") <= n * F.lit(dup_max_share),
          F.format_string("High duplicate count: %s rows (%.2f%%)", fmt(F.col("duplicate_rows")),
-                         F.col("duplicate_rows") / n * 100)),
+                         safe_div(F.col("duplicate_rows"), n) * 100)),
     ]
     rows = []
     for name, observed, lo, hi, ok, err in checks:
@@ -144,7 +144,7 @@ def _profile_columns(df: DataFrame) -> list:
         F.lit(sum(c == "datetime64" for c in classes)).cast("bigint").alias("datetime_columns"),
         F.lit(0).cast("bigint").alias("categorical_columns"),
         total_missing.cast("bigint").alias("total_missing"),
-        r6(total_missing / (n * F.lit(ncols)) * 100).alias("missing_pct"),
+        r6(safe_div(total_missing, n * F.lit(ncols)) * 100).alias("missing_pct"),
         with_missing.alias("columns_with_missing"),
     ]
 
@@ -187,7 +187,7 @@ def missing_report(df: DataFrame, drop_pct: float = K.DROP_COLUMN_MISSING_PCT,
     rows = []
     for i, f in enumerate(df.schema.fields):
         miss = n - F.col(f"_nn{i}")
-        pct = miss / n * 100
+        pct = safe_div(miss, n) * 100
         if is_text(f):
             small = F.lit("fill_unknown")
         else:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions import constants as K
-from riskspark.functions.columns import col, r6
+from riskspark.functions.columns import col, r6, safe_div
 from riskspark.session import reusable, shared_dir
 
 
@@ -131,4 +131,4 @@ def scale_pos_weight(train_df: DataFrame, label: str = K.TARGET) -> DataFrame:
     """M4: n_negative / n_positive of the training split."""
     return train_df.agg(F.count_if(col(label) == 0).cast("bigint").alias("n_negative"),
                         F.count_if(col(label) == 1).cast("bigint").alias("n_positive")).select(
-        "n_negative", "n_positive", r6(F.col("n_negative") / F.col("n_positive")).alias("scale_pos_weight"))
+        "n_negative", "n_positive", r6(safe_div(F.col("n_negative"), F.col("n_positive"))).alias("scale_pos_weight"))

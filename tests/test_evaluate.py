@@ -95,3 +95,18 @@ def test_bands(spark):
     got = [r[0] for r in df.select(EV.gini_band(F.col("g"))).collect()]
     assert got == ["Excellent - Strong discrimination", "Good - Acceptable discrimination",
                    "Fair - Minimum acceptable", "Poor - Needs improvement"]
+
+
+def test_single_class_group_gives_null_not_error(spark):
+    df = spark.createDataFrame([("m", "a", 1, 0.3), ("m", "a", 1, 0.4), ("m", "b", 0, 0.2), ("m", "b", 1, 0.6)],
+                               "model string, split string, label long, p double")
+    r = {x["split"]: x for x in EV.metrics(df).collect()}
+    assert r["a"]["auc"] is None and r["b"]["auc"] == 1.0
+
+
+def test_empty_table_profile(spark):
+    from riskspark.operators import profile as P
+
+    df = spark.createDataFrame([], "id long, Default long")
+    q = P.quality_profile(df).first()
+    assert q["rows"] == 0 and q["missing_pct"] is None
