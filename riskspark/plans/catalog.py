@@ -450,12 +450,23 @@ def _model_split(spark, sf):
     return S.stratified_split(eng), feats
 
 
+def _lr(spark, sf):
+    """The balanced L2 logistic regression on the training split: fitted once, then loaded
+    from the model store (as the explain and scoring phases load the saved model)."""
+    from riskspark.operators import train as T
+    from riskspark.plans.models import fit_or_load
+
+    sp, feats = _model_split(spark, sf)
+    tm = fit_or_load(spark, loans(spark, sf), "lr", {"C": 1.0, "max_iter": 1000, "balanced": True}, feats,
+                     lambda: T.train_logistic(sp.filter(F.col("split") == "train"), feats))
+    return tm, sp, feats
+
+
 def q_train_lr(spark, sf):
     """M5: coefficient table of the balanced L2 logistic regression."""
     from riskspark.operators import train as T
 
-    sp, feats = _model_split(spark, sf)
-    tm = T.train_logistic(sp.filter(F.col("split") == "train"), feats)
+    tm, _, _ = _lr(spark, sf)
     return T.coefficient_table(tm)
 
 
@@ -467,12 +478,15 @@ def q_tune_lr(spark, sf):
     return T.tune_logistic(sp.filter(F.col("split") == "train"), feats, max_iter=LR_TUNE_ITER)
 
 
-def _gbt(spark, sf):
+def _gbt(spark, sf, split=None):
+    """The early-stopped boosted trees: fitted once, then loaded from the model store."""
     from riskspark.operators import train as T
+    from riskspark.plans.models import fit_or_load
 
-    sp, feats = _model_split(spark, sf)
-    tm = T.train_gbt(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val"), feats,
-                     max_iter=GBT_ROUNDS)
+    sp, feats = split or _model_split(spark, sf)
+    tm = fit_or_load(spark, loans(spark, sf), "gbt", {"max_iter": GBT_ROUNDS, "early_stopping": 20}, feats,
+                     lambda: T.train_gbt(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val"),
+                                         feats, max_iter=GBT_ROUNDS))
     return tm, sp, feats
 
 
@@ -488,11 +502,10 @@ def q_training_runs(spark, sf):
     """One record per fitted model (parameters, sizes, best round, time)."""
     from riskspark.operators import train as T
 
-    sp, feats = _model_split(spark, sf)
-    train_df, val_df = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val")
-    n_train, n_val = train_df.count(), val_df.count()
-    lr = T.train_logistic(train_df, feats)
-    gbt = T.train_gbt(train_df, val_df, feats, max_iter=GBT_ROUNDS)
+    lr, sp, feats = _lr(spark, sf)
+    gbt, _, _ = _gbt(spark, sf, (sp, feats))
+    sizes = {r["split"]: r["n"] for r in sp.groupBy("split").count().withColumnRenamed("count", "n").collect()}
+    n_train, n_val = sizes.get("train", 0), sizes.get("val", 0)
     rows = [T.run_record(lr, n_train, n_val), T.run_record(gbt, n_train, n_val)]
     return spark.createDataFrame(rows, "model_name string, n_train long, n_val long, params string, "
                                        "best_iteration int, train_seconds double")
@@ -502,11 +515,9 @@ def q_evaluate_trained(spark, sf):
     """E1-E9 on the two fitted models' validation and test scores."""
     from riskspark.operators import train as T
 
-    sp, feats = _model_split(spark, sf)
-    train_df, val_df = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val")
+    lr, sp, feats = _lr(spark, sf)
+    gbt, _, _ = _gbt(spark, sf, (sp, feats))
     held_out = sp.filter(F.col("split") != "train")
-    lr = T.train_logistic(train_df, feats)
-    gbt = T.train_gbt(train_df, val_df, feats, max_iter=GBT_ROUNDS)
     parts = []
     for tm in (lr, gbt):
         parts.append(T.score(tm, held_out, keep=["id", "split", "Default"]).select(
