@@ -34,3 +34,14 @@ def test_key_tracks_inputs_and_params(spark, sf_small):
     assert k != M.model_key(spark, b, "gbt", {"r": 1}, ["x"])
     assert k != M.model_key(spark, a, "gbt", {"r": 2}, ["x"])
     assert k != M.model_key(spark, a, "gbt", {"r": 1}, ["x", "y"])
+
+
+def test_rewritten_input_changes_key(spark):
+    from riskspark.session import scratch_path
+
+    path = scratch_path(spark, "store-key")
+    spark.range(10).write.mode("overwrite").parquet(path)
+    k1 = M.model_key(spark, spark.read.parquet(path), "lr", {}, ["id"])
+    assert k1 == M.model_key(spark, spark.read.parquet(path), "lr", {}, ["id"])
+    spark.range(20).write.mode("overwrite").parquet(path)  # same path, new content
+    assert k1 != M.model_key(spark, spark.read.parquet(path), "lr", {}, ["id"])
