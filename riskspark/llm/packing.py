@@ -41,41 +41,42 @@ def projection(dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.random.default_rng(7).standard_normal((HASH_DIMS, dims))
 
 
-def project(ids: np.ndarray, dims: int = DIMS, bits: int = BITS) -> list[int]:
-    """Grid point of a document: hashed counts, dampened and normalised, projected, then spread evenly."""
+def project(docs: list[np.ndarray], dims: int = DIMS, bits: int = BITS) -> np.ndarray:
+    """(documents, dims) grid points: hashed counts, dampened and normalised, projected, spread evenly."""
     bucket, matrix = projection(dims)
-    counts = np.log1p(np.bincount(bucket[ids], minlength=HASH_DIMS))
-    size = np.linalg.norm(counts)
-    point = (counts / size) @ matrix if size else np.zeros(dims)
-    even = [0.5 * (1 + math.erf(x / math.sqrt(2))) for x in point]
-    return [min((1 << bits) - 1, int(e * (1 << bits))) for e in even]
-
-
-def hilbert_key(point: list[int], bits: int = BITS) -> int:
-    """Place of a grid point on the Hilbert curve: Gray-code walk from the top bit down."""
-    x, n = list(point), len(point)
+    place = np.repeat(np.arange(len(docs)) * HASH_DIMS, [len(d) for d in docs])
+    flat = np.concatenate([*docs, np.zeros(0, dtype="<u2")])
+    counts = np.log1p(np.bincount(place + bucket[flat], minlength=len(docs) * HASH_DIMS).reshape(len(docs), HASH_DIMS))
+    size = np.sqrt((counts * counts).sum(1, keepdims=True))
+    point = counts / np.maximum(size, 1e-300) @ matrix
+    even = 1 / (1 + np.exp(-1.702 * point))  # close to the normal distribution
+    return np.minimum((1 << bits) - 1, (even * (1 << bits)).astype(np.int64))
+
+
+def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Places of grid points on the Hilbert curve: a Gray-code walk from the top bit down."""
+    x = [points[:, i].copy() for i in range(points.shape[1])]
+    n = len(x)
     q = 1 << (bits - 1)
     while q > 1:
         p = q - 1
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
+            on = (x[i] & q) != 0
+            t = np.where(on, 0, (x[0] ^ x[i]) & p)
+            x[0] = np.where(on, x[0] ^ p, x[0] ^ t)
+            if i:
                 x[i] ^= t
         q >>= 1
     for i in range(1, n):
         x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
+    turn, q = np.zeros_like(x[0]), 1 << (bits - 1)
     while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
+        turn = np.where(x[n - 1] & q, turn ^ (q - 1), turn)
         q >>= 1
-    key = 0
+    key = np.zeros_like(x[0])
     for b in range(bits - 1, -1, -1):
         for i in range(n):
-            key = key << 1 | ((x[i] ^ t) >> b) & 1
+            key = key << 1 | ((x[i] ^ turn) >> b) & 1
     return key
 
 
@@ -89,9 +90,10 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                for d, raw in zip(part.column(0).to_pylist(), tokens.encode(part.column(1).to_pylist(), path)):
-                    ids = np.frombuffer(raw, "<u2")
-                    yield d, hilbert_key(project(ids)), len(ids) + 1, raw + end
+                got = tokens.encode(part.column(1).to_pylist(), path)
+                keys = hilbert_keys(project([np.frombuffer(raw, "<u2") for raw in got])).tolist()
+                for d, key, raw in zip(part.column(0).to_pylist(), keys, got):
+                    yield d, key, len(raw) // 2 + 1, raw + end
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = with_python(src).mapInArrow(lambda bs: chunked(rows(bs), schema, weigh=lambda r: len(r[3])), "doc_id long, key long, n long, ids binary")

@@ -1,19 +1,22 @@
-"""Token ids of whole texts with a public tokenizer, through a cache of word pieces.
+"""Token ids of whole texts with a public tokenizer, through a cache of words and of their pieces.
 
 The vocabulary works on pre-tokens that never cross white space. For texts whose characters lie in
 the plain Latin range the pre-tokens are cut here, and only pieces not seen before by this Python
-worker go through the library, all of a batch in one call. Any other text goes through the library
-as a whole. Both give the library's own ids (tested against it).
+worker go through the library's model. Any other text goes through the library as a whole. Both give
+the library's own ids (tested against it).
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import sys
+from array import array
 
 import numpy as np
 
-MAX_CACHED = 500_000
+#: Words and pieces that a Python worker remembers at most; a full cache starts anew.
+MAX_WORDS, MAX_PIECES = 700_000, 300_000
 
 _LETTERS = "a-zªµºÀ-ÖØ-öø-ɏ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^\s{_LETTERS}0-9²³¹¼-¾]+")
@@ -21,6 +24,11 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼-¾]|[
 _WHOLE = re.compile("[^\t\n\r -~¡-¬®-įı-ɏ]|<\\|")
 
 
+#: The model reads bytes as characters: visible ones of Latin-1 as they are, the others from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+
+
 @functools.lru_cache(maxsize=4)
 def load(path: str):
     from tokenizers import Tokenizer
@@ -29,8 +37,8 @@ def load(path: str):
 
 
 @functools.lru_cache(maxsize=4)
-def cache(path: str) -> dict[str, bytes]:
-    return {}
+def caches(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    return {}, {}
 
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
@@ -38,28 +46,30 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
 
     The vocabulary must have at most 65,536 ids.
     """
-    tokenizer, known = load(path), cache(path)
+    tokenizer, (words, pieces) = load(path), caches(path)
     if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("the vocabulary has more than 65,536 ids")
+    if sys.byteorder != "little":
+        raise RuntimeError("ids are stored in little-endian order")
     whole = [i for i, t in enumerate(texts) if t and _WHOLE.search(t)]
     out: list[bytes] = [b""] * len(texts)
     for i in whole:
         out[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u2").tobytes()
     skip = set(whole)
-    pieces = {i: _PIECES.findall(t.lower()) for i, t in enumerate(texts) if t and i not in skip}
-    if len(known) > MAX_CACHED:
-        known.clear()
-    new = list({p for ps in pieces.values() for p in ps}.difference(known))
-    for s in range(0, len(new), 20_000):
-        part = new[s:s + 20_000]
-        got = tokenizer.encode(" ".join(part), add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u2").tobytes()
-        cut = np.flatnonzero(np.diff(np.array(got.word_ids), prepend=-1)).tolist()
-        if len(cut) != len(part):
-            raise RuntimeError("the tokenizer's pre-tokens differ from the pieces")
-        for p, a, b in zip(part, cut, [*cut[1:], len(got.ids)]):
-            known[p] = ids[2 * a:2 * b]
-    find = known.__getitem__
-    for i, ps in pieces.items():
-        out[i] = b"".join(map(find, ps))
+    cut = {i: t.lower().split() for i, t in enumerate(texts) if t and i not in skip}
+    for known, most in ((words, MAX_WORDS), (pieces, MAX_PIECES)):
+        if len(known) > most:
+            known.clear()
+    model = tokenizer.model
+    for w in set().union(*cut.values()).difference(words):
+        ids = []
+        for p in _PIECES.findall(w):
+            if (got := pieces.get(p)) is None:
+                raw = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)
+                got = pieces[p] = array("H", [t.id for t in model.tokenize(raw)]).tobytes()
+            ids.append(got)
+        words[w] = b"".join(ids)
+    find = words.__getitem__
+    for i, ws in cut.items():
+        out[i] = b"".join(map(find, ws))
     return out
