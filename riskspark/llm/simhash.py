@@ -78,6 +78,8 @@ def ball_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) whose components are those of "differ in at most ``max_bits`` bits". fps: distinct (fp)."""
     half = max_bits // 2
     own, more = ball_masks(max_bits)
+    # a row becomes hundreds: deal the few fingerprints of a small file over all tasks first
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     masks = F.lit(own) if not more else F.when(F.bit_count("fp") % 2 == 1, F.lit(own + more)).otherwise(F.lit(own))
     variants = fps.select("fp", F.explode(masks).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("z"), "fp")
     away = F.bit_count(F.col("z").bitwiseXOR(F.col("fp")))
