@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import chunked, with_python
+from riskspark.llm.common import chunked, stage, with_python
 
 CRLF = "\r\n"
 MIN_REVISIT_BYTES = 100
@@ -177,7 +177,7 @@ def captures(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) ->
     """
     spark = pages.sparkSession
     write_archive(pages, path, min_bytes)
-    got = assemble(read_archive(spark, path, with_payload=False)).select(
+    got = assemble(stage(read_archive(spark, path, with_payload=False), "records")).select(
         "record_id", F.get("metadata", F.lit(0))["fields"]["page-id"].cast("long").alias("page_id"), "payload_bytes", F.col("payload_sha256").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers_to").alias("refers_record"), "target_uri")
     named = got.where("record_type = 'response'").select(F.col("record_id").alias("refers_record"), F.col("page_id").alias("refers_to"))
