@@ -24,6 +24,7 @@ from riskspark.llm.common import chunked, stage, with_python
 CRLF = "\r\n"
 MIN_REVISIT_BYTES = 100
 FILE_BYTES = 32 << 20
+SALTS = 32
 DATE = "2026-01-01T00:00:00Z"
 
 RECORD = ("record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, payload_digest string, "
@@ -180,5 +181,9 @@ def captures(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) ->
     got = assemble(stage(read_archive(spark, path, with_payload=False), "records")).select(
         "record_id", F.get("metadata", F.lit(0))["fields"]["page-id"].cast("long").alias("page_id"), "payload_bytes", F.col("payload_sha256").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers_to").alias("refers_record"), "target_uri")
-    named = got.where("record_type = 'response'").select(F.col("record_id").alias("refers_record"), F.col("page_id").alias("refers_to"))
-    return got.join(named, "refers_record", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    # many captures may refer to one response: its row is copied for each salt
+    asked = got.where("refers_record IS NOT NULL").select("refers_record").distinct()
+    named = (got.where("record_type = 'response'").select(F.col("record_id").alias("refers_record"), F.col("page_id").alias("refers_to")).join(asked, "refers_record")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = got.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(named, ["refers_record", "salt"], "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
