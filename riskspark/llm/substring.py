@@ -77,8 +77,9 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
     ident = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("uid"), F.col(text_col).cast("string").alias("text")]
     units = stage(hash_units(docs.select(*ident)), "units")
     at = F.struct("doc_id", "uid", "place")
-    ranked = units.groupBy("hi", "lo").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("NOT (first <=> last)")
-    repeats = (units.join(ranked.select("hi", "lo", "first"), ["hi", "lo"]).where(~at.eqNullSafe(F.col("first")))
+    # written first: the join's two sides are then plain, and a digest with very many places can be split
+    ranked = stage(units.groupBy("hi", "lo").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("NOT (first <=> last)").select("hi", "lo", "first"), "repeats")
+    repeats = (units.join(ranked, ["hi", "lo"]).where(~at.eqNullSafe(F.col("first")))
                .groupBy("doc_id", "uid").agg(F.collect_set("place").alias("places")))
     names = [f"c{i}" for i in range(len(base.columns))]
     left = base.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(base.columns, names)], *[c.alias(f"__{n}") for c, n in zip(ident[:2], ("doc_id", "uid"))])
