@@ -179,8 +179,9 @@ def fit(train: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
 _STATES: dict[str, np.ndarray] = {}
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score, bits_per_byte.
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang_pred, score, bits_per_byte. With ``keep``, these columns
+    of ``docs`` come first instead of doc_id.
 
     score is the posterior of the best language under equal priors, from the exact code lengths. A
     NULL text, a text without a letter, or a model without languages: ``und``, score 0. Ties go to
@@ -189,7 +190,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sc = docs.sparkSession.sparkContext
     token = f"{sc.applicationId}-{id(model)}"
     held = sc.broadcast((model.langs, model.contexts, model.bits))
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+    kept = docs.select(*(keep or [])).schema
+    n = len(kept)
 
     def run(batches):
         langs, contexts, bits = held.value
@@ -199,7 +201,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             shell.contexts = contexts
             _STATES[token] = Model.states(shell)
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(n + 1).to_pylist()
             known = [bool(t) and bool(langs) and has_letter(t) for t in texts]
             raw = [t.encode() if ok else b"" for t, ok in zip(texts, known)]
             cost = score_texts(raw, bits, _STATES[token]) if langs else np.zeros((len(texts), 1))
@@ -208,11 +210,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             post = 1.0 / np.exp2(np.maximum(low[:, None] - cost, -1000.0)).sum(1)
             size = np.array([max(1, len(r)) for r in raw])
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, known)], pa.string()),
-                pa.array(np.where(known, post, 0.0)), pa.array(np.where(known, low / size, 0.0))], schema=schema)
-
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return with_python(src).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+                *b.columns[:n + 1], pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, known)], pa.string()),
+                pa.array(np.where(known, post, 0.0)), pa.array(np.where(known, low / size, 0.0))], names=names)
+
+    inner = [f"k{i}" for i in range(n)]
+    names = [*inner, "doc_id", "lang_pred", "score", "bits_per_byte"]
+    src = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep or [], inner)], F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    types = ", ".join([*(f"{k} {f.dataType.simpleString()}" for k, f in zip(inner, kept)), "doc_id long, lang_pred string, score double, bits_per_byte double"])
+    out = with_python(src).mapInArrow(run, types)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, inner)], "lang_pred", "score", "bits_per_byte") if keep else out
 
 
 def fold(doc_id="doc_id"):
