@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from riskspark.llm import decontam, langid, packing, simhash, substring
 from riskspark.llm.common import stage, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without an identifiable language (no text, or no letter); ``lang`` becomes the
     prediction where it was NULL."""
     model = langid.fit(docs.where(langid.fold() != 2).select(F.col("doc_id").alias("key"), "lang", "text"))
-    keyed = docs.withColumn("uid", F.xxhash64(*docs.columns))
-    found = langid.predict(keyed, model, id_col="uid").select(F.col("doc_id").alias("uid"), "lang_pred").where(F.col("lang_pred") != langid.UNKNOWN).distinct()
-    return keyed.join(found, "uid").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.predict(docs, model, keep=docs.columns).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
