@@ -18,21 +18,25 @@ MAX_LEVELS = 1000
 
 def fit_levels(df: DataFrame, columns: Sequence[str] = tuple(K.CATEGORICAL_FEATURES),
                max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """F17 fit: sorted observed levels of text columns (one aggregate), declared ones for brackets.
+    """F17 fit: sorted observed levels of text columns, declared ones for brackets.
 
-    The categorical columns are low-cardinality by construction (C5 finds
-    them), so ``collect_set`` holds at most a few dozen values per task; the
-    size is checked before any plan uses the levels.
+    The distinct (column, value) pairs come from one grouping (combined before the shuffle) and are
+    counted before any of them reaches the driver; a column with more than ``max_levels`` levels is
+    an error, as each level would become a column.
     """
     observed = [c for c in columns if c in df.columns and c not in DECLARED_LEVELS]
     levels = {c: list(DECLARED_LEVELS[c]) for c in columns if c in DECLARED_LEVELS and c in df.columns}
     if observed:
-        row = df.agg(*[F.array_sort(F.collect_set(col(c))).alias(f"_l{i}") for i, c in enumerate(observed)]).first()
-        for i, c in enumerate(observed):
-            vals = [str(v) for v in row[f"_l{i}"]]
-            if len(vals) > max_levels:
-                raise ValueError(f"{c}: {len(vals)} levels exceed {max_levels}; not a categorical column")
-            levels[c] = vals
+        pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in observed])))
+        seen = pairs.where("v IS NOT NULL").distinct()
+        for r in seen.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each column
+            if r["n"] > max_levels:
+                raise ValueError(f"{r['c']}: {r['n']} levels exceed {max_levels}; not a categorical column")
+        levels.update({c: [] for c in observed})
+        for r in seen.collect():  # at most max_levels rows for each column
+            levels[r["c"]].append(r["v"])
+        for c in observed:
+            levels[c].sort()
     return {c: levels[c] for c in columns if c in levels}
 
 
@@ -54,14 +58,20 @@ class ScalerParams:
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str] = tuple(K.NUMERIC_FEATURES)) -> ScalerParams:
-    """F18 fit: mean and population std of each numeric feature, one aggregate; std 0 -> 1."""
+    """F18 fit: mean and population std of each numeric feature, one aggregate.
+
+    A constant column gets std 1 (it scales to 0). It is told by min = max, as the merged variance of
+    a constant that has no exact binary form is only nearly 0; its mean is then that value itself.
+    """
     cols = [c for c in columns if c in df.columns]
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(col(c).cast("double")).alias(f"s{i}")]
+        x = col(c).cast("double")
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     row = df.agg(*aggs).first()
-    mean = {c: row[f"m{i}"] for i, c in enumerate(cols)}
-    std = {c: (row[f"s{i}"] if row[f"s{i}"] not in (None, 0.0) else 1.0) for i, c in enumerate(cols)}
+    same = {c: row[f"a{i}"] is not None and row[f"a{i}"] == row[f"b{i}"] for i, c in enumerate(cols)}
+    mean = {c: row[f"a{i}"] if same[c] else row[f"m{i}"] for i, c in enumerate(cols)}
+    std = {c: 1.0 if same[c] or row[f"s{i}"] in (None, 0.0) else row[f"s{i}"] for i, c in enumerate(cols)}
     return ScalerParams(mean, std)
 
 

@@ -113,8 +113,10 @@ def metrics(scored: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     return ranking_metrics(cum, groups).join(threshold_metrics_from_cum(cum, groups), list(groups))
 
 
-def model_comparison(scored: DataFrame, model_order: Sequence[str] | None = None) -> DataFrame:
-    """One row per model, val_* and test_* metrics, test confusion counts, bands."""
+def model_comparison(scored: DataFrame, model_order: Sequence[str] | None = None, rounded: bool = True) -> DataFrame:
+    """One row per model, val_* and test_* metrics, test confusion counts, bands (from unrounded
+    metrics). ``rounded=False`` keeps the metrics as they are: what decides between models takes those."""
+    show = r6 if rounded else (lambda c: c)
     m = metrics(scored, GROUPS)
     aggs = []
     for s in ("val", "test"):
@@ -124,7 +126,7 @@ def model_comparison(scored: DataFrame, model_order: Sequence[str] | None = None
         aggs.append(F.max(F.when(F.col("split") == "test", F.col(c))).alias(f"test_{c}"))
     wide = m.groupBy(F.col("model").alias("model_name")).agg(*aggs)
     cols = [F.col("model_name")]
-    cols += [r6(F.col(f"{s}_{n}")).alias(f"{s}_{n}") for s in ("val", "test") for n in METRICS]
+    cols += [show(F.col(f"{s}_{n}")).alias(f"{s}_{n}") for s in ("val", "test") for n in METRICS]
     cols += [F.col(f"test_{c}") for c in ("tn", "fp", "fn", "tp")]
     cols += [gini_band(F.col("test_gini")).alias("gini_interpretation"),
              ks_band(F.col("test_ks")).alias("ks_interpretation")]
@@ -137,11 +139,11 @@ def model_comparison(scored: DataFrame, model_order: Sequence[str] | None = None
 
 def best_model(comparison: DataFrame, order_col: str = "model_rank") -> DataFrame:
     """The best model (a later model wins only with a strictly greater test AUC)
-    and the best AUC / Gini / KS taken independently."""
+    and the best AUC / Gini / KS taken independently. Takes unrounded metrics, rounds last."""
     return comparison.agg(
         F.min_by(F.col("model_name"), F.struct(-F.col("test_auc"), F.col(order_col))).alias("best_model"),
-        F.max("test_auc").alias("best_auc"), F.max("test_gini").alias("best_gini"),
-        F.max("test_ks").alias("best_ks"))
+        r6(F.max("test_auc")).alias("best_auc"), r6(F.max("test_gini")).alias("best_gini"),
+        r6(F.max("test_ks")).alias("best_ks"))
 
 
 def leaderboard(comparison: DataFrame, order_col: str = "model_rank") -> DataFrame:
@@ -152,5 +154,5 @@ def leaderboard(comparison: DataFrame, order_col: str = "model_rank") -> DataFra
     w = Window.partitionBy()
     best = F.min_by(F.col("model_name"), F.struct(-F.col("test_auc"), F.col(order_col))).over(w)
     return comparison.select(
-        "model_name", "test_auc", "test_gini", "test_ks", "test_f1",
+        "model_name", *[r6(F.col(c)).alias(c) for c in ("test_auc", "test_gini", "test_ks", "test_f1")],
         (F.col("model_name") == best).cast("int").alias("is_best"))

@@ -26,6 +26,10 @@ from riskspark.functions.columns import col, r6, safe_div
 from riskspark.session import reusable, shared_dir
 
 
+#: More distinct labels than this are not classes (an error, never a cut).
+MAX_CLASSES = 1000
+
+
 def split_hash(key: Column, seed: int = K.RANDOM_STATE) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
@@ -60,7 +64,8 @@ def stratified_split(df: DataFrame, key: str = K.KEY, label: str = K.TARGET, see
     """M1: ``df`` plus a ``split`` column in {train, val, test}.
 
     Input passes: one for the bucket counts (checkpointed: a bounded table of
-    at most 16^prefix_len rows per class), then the final plan reads the input
+    at most 16^prefix_len rows per class; a longer prefix gives smaller buckets
+    and the same split), then the final plan reads the input
     in two branches -- all rows of whole-split buckets (no shuffle) and the
     straddling buckets (ranked). A derived input is written once first.
     """
@@ -70,7 +75,12 @@ def stratified_split(df: DataFrame, key: str = K.KEY, label: str = K.TARGET, see
     hashed = src.select("*", h.alias("_h"), F.substring(h, 1, prefix_len).alias("_b"))
     buckets = (hashed.groupBy(col(label).alias("_lab"), F.col("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
                .checkpoint(eager=True))
-    class_rows = buckets.groupBy("_lab").agg(F.sum("_cnt").alias("n")).collect()  # one row per class
+    class_rows = buckets.groupBy("_lab").agg(F.sum("_cnt").alias("n")).limit(MAX_CLASSES + 1).collect()  # one row per class
+    unlabelled = sum(int(r["n"]) for r in class_rows if r["_lab"] is None)
+    if unlabelled:
+        raise ValueError(f"{unlabelled} rows have no {label}: a stratified split needs a label in every row")
+    if len(class_rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes: not a class label")
     sizes = split_sizes({r["_lab"]: int(r["n"]) for r in class_rows}, test_size, val_size)
 
     test_cut = F.lit(None).cast("bigint")
@@ -91,7 +101,9 @@ def stratified_split(df: DataFrame, key: str = K.KEY, label: str = K.TARGET, see
         .when((lo >= F.col("_tcut")) & (hi <= F.col("_vcut")), "val")
         .when(lo >= F.col("_vcut"), "train").alias("_whole"))
 
-    joined = hashed.join(F.broadcast(offsets), (col(label) == F.col("_lab")) & (F.col("_b") == F.col("_ob")))
+    # proven bound: 16^prefix_len x MAX_CLASSES rows; left to the optimizer's own size check beyond a few classes
+    sent = F.broadcast(offsets) if 16 ** prefix_len * len(class_rows) <= 16 ** 4 * 4 else offsets
+    joined = hashed.join(sent, (col(label) == F.col("_lab")) & (F.col("_b") == F.col("_ob")))
     whole = joined.filter(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
     cut = joined.filter(F.col("_whole").isNull())
     rank = F.col("_before") + F.row_number().over(
@@ -121,12 +133,6 @@ def class_weights(train_df: DataFrame, label: str = K.TARGET) -> DataFrame:
                       r6(F.sum("n_class").over(w) / (k * F.col("n_class"))).alias("weight"))
 
 
-def with_class_weight(train_df: DataFrame, label: str = K.TARGET, weight_col: str = "weight") -> DataFrame:
-    """Attach the balanced weight per row (broadcast of a two-row table)."""
-    weights = class_weights(train_df, label).select(F.col("label").alias("_wl"), F.col("weight").alias(weight_col))
-    return train_df.join(F.broadcast(weights), col(label) == F.col("_wl")).drop("_wl")
-
-
 def scale_pos_weight(train_df: DataFrame, label: str = K.TARGET) -> DataFrame:
     """M4: n_negative / n_positive of the training split."""
     return train_df.agg(F.count_if(col(label) == 0).cast("bigint").alias("n_negative"),
