@@ -10,22 +10,9 @@ from pyspark.sql import functions as F
 from riskspark.functions.columns import col
 
 
-def quantile_expr(c: Column, probs: Sequence[float], accuracy: int | None = None) -> Column:
-    """Linear-interpolation quantiles (exact) or a bounded-size sketch (``accuracy``).
-
-    Exact ``percentile`` keeps a value -> count map per partial aggregate, so
-    its state grows with the number of *distinct* values, not with rows:
-    FICO, DTI in hundredths, whole-dollar amounts stay small at any row
-    count. For a continuous column of unbounded cardinality pass
-    ``accuracy`` to switch to the fixed-size sketch.
-    """
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if accuracy is None:
-        return F.percentile(c.cast("double"), arr)
-    return F.percentile_approx(c.cast("double"), arr, accuracy)
-
-
-MAX_EXACT_DISTINCT = 1_000_000
+def sketch_expr(c: Column, probs: Sequence[float], accuracy: int) -> Column:
+    """Approximate quantiles from a sketch whose size depends on ``accuracy`` only."""
+    return F.percentile_approx(c.cast("double"), F.array(*[F.lit(float(p)) for p in probs]), accuracy)
 
 
 def distinct_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
@@ -37,39 +24,22 @@ def distinct_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
 
 
 def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                  accuracy: int | None = None, distinct: dict[str, int] | None = None,
-                  max_exact_distinct: int = MAX_EXACT_DISTINCT) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles of many columns (or a sketch with ``accuracy``).
-
-    Columns whose distinct count is at most ``max_exact_distinct`` use the
-    ``percentile`` aggregate -- all of them in ONE pass; its state is a
-    value -> count map, bounded by that distinct count. Columns above it
-    use the distributed rank method (``ranks.exact_quantiles_by_rank``), so no
-    task ever holds an unbounded map. ``distinct`` may carry estimates from an
-    earlier pass (an upper bound is fine); otherwise one HLL pass decides.
+                  accuracy: int | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles of many columns, or with ``accuracy`` a bounded-size sketch.
+
+    One plan at every size: counts per (column, value), then ranks
+    (``ranks.exact_quantiles_by_rank``). No task holds a map of all values of a column.
     """
+    from riskspark.functions.ranks import exact_quantiles_by_rank
+
     cols = list(columns)
     if not cols:
         return {}
     if accuracy is not None:
-        row = df.agg(*[quantile_expr(col(c), probs, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(*[sketch_expr(col(c), probs, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(cols)}
-    est = dict(distinct or {})
-    missing = [c for c in cols if c not in est]
-    est.update(distinct_estimates(df, missing))
-    small = [c for c in cols if est[c] <= max_exact_distinct]
-    big = [c for c in cols if est[c] > max_exact_distinct]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[quantile_expr(col(c), probs).alias(f"q{i}") for i, c in enumerate(small)]).first()
-        out.update({c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
-                    for i, c in enumerate(small)})
-    if big:
-        from riskspark.functions.ranks import exact_quantiles_by_rank
-
-        out.update(exact_quantiles_by_rank(df, big, probs))
-    return {c: out[c] for c in cols}
+    return exact_quantiles_by_rank(df, cols, probs)
 
 
 def adjusted_skewness(g1: Column, n: Column) -> Column:

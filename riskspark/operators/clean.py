@@ -24,18 +24,16 @@ class MissingPlan:
     dropna_columns: list[str] = field(default_factory=list)
     fill_columns: list[str] = field(default_factory=list)
     fill_value: str = K.TEXT_FILL
-    distinct: dict[str, int] = field(default_factory=dict)  # HLL estimate per column (an upper bound later on)
 
 
 def _missing_aggs(df: DataFrame) -> list:
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(col(c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)]
-    aggs += [F.approx_count_distinct(col(c)).alias(f"_d{i}") for i, c in enumerate(df.columns)]
     return aggs
 
 
 def _plan_from_counts(df: DataFrame, row, drop_pct: float, act_pct: float) -> MissingPlan:
     n = row["_rows"]
-    plan = MissingPlan(distinct={c: int(row[f"_d{i}"]) for i, c in enumerate(df.columns)})
+    plan = MissingPlan()
     if not n:
         return plan
     for i, f in enumerate(df.schema.fields):
@@ -52,12 +50,7 @@ def _plan_from_counts(df: DataFrame, row, drop_pct: float, act_pct: float) -> Mi
 
 def fit_missing(df: DataFrame, drop_pct: float = K.DROP_COLUMN_MISSING_PCT,
                 act_pct: float = K.ACT_ON_MISSING_PCT) -> MissingPlan:
-    """C2-C4 decisions from ONE null-count aggregate (percentages before any drop).
-
-    The same pass estimates the distinct count of every column (HLL, fixed-size
-    state): later quantile fits use them to pick the exact method, the one-hot
-    fit to refuse a high-cardinality column before collecting its levels.
-    """
+    """C2-C4 decisions from ONE null-count aggregate (percentages before any drop)."""
     return _plan_from_counts(df, df.agg(*_missing_aggs(df)).first(), drop_pct, act_pct)
 
 
@@ -110,14 +103,14 @@ class WinsorBounds:
 
 def fit_winsor(df: DataFrame, columns: Sequence[str] | None = None, low: float = K.WINSOR_LOW,
                high: float = K.WINSOR_HIGH, exclude: Sequence[str] = (K.KEY, K.TARGET),
-               accuracy: int | None = None, distinct: dict[str, int] | None = None) -> WinsorBounds:
-    """C8 fit: the p1 / p99 of every numeric column in one aggregate.
+               accuracy: int | None = None) -> WinsorBounds:
+    """C8 fit: the p1 / p99 of every numeric column.
 
     Key and target are excluded by default: clipping them would make ids
     collide and could flatten a rare class.
     """
     cols = list(columns) if columns is not None else numeric_columns(df, exclude)
-    q = fit_quantiles(df, cols, [low, high], accuracy, distinct=distinct)
+    q = fit_quantiles(df, cols, [low, high], accuracy)
     return WinsorBounds({c: (q[c][0], q[c][1]) for c in cols if q[c][0] is not None})
 
 
@@ -146,4 +139,4 @@ def clean(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """C2-C4 -> C8 -> C13-C14, the cleaning phase as one lazy plan (two fits)."""
     df, plan = fit_missing_once(df, "clean-input")
     missing_done = apply_missing(df, plan)
-    return finalize(apply_winsor(missing_done, fit_winsor(missing_done, accuracy=accuracy, distinct=plan.distinct)))
+    return finalize(apply_winsor(missing_done, fit_winsor(missing_done, accuracy=accuracy)))

@@ -204,8 +204,11 @@ def low_cardinality(df: DataFrame, max_distinct: int = K.LOW_CARDINALITY_MAX,
                     approximate: bool = False) -> DataFrame:
     """Distinct count per text column (NULL ignored) and the low-cardinality flag."""
     cols = text_columns(df)
-    fn = (lambda c: F.approx_count_distinct(col(c))) if approximate else (lambda c: F.count_distinct(col(c)))
-    wide = df.agg(*[fn(c).alias(f"_d{i}") for i, c in enumerate(cols)])
+    if approximate:
+        wide = df.agg(*[F.approx_count_distinct(col(c)).alias(f"_d{i}") for i, c in enumerate(cols)])
+    else:  # one grouping by (column, value), combined before the shuffle
+        pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), col(c).alias("v")) for i, c in enumerate(cols)])))
+        wide = pairs.where("v IS NOT NULL").distinct().agg(*[F.count_if(F.col("i") == i).alias(f"_d{i}") for i in range(len(cols))])
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"_d{i}").cast("bigint").alias("n_distinct"),
                      (F.col(f"_d{i}") < max_distinct).cast("int").alias("low_cardinality"))
             for i, c in enumerate(cols)]
@@ -262,9 +265,7 @@ def statistical_summary(df: DataFrame, columns: Sequence[str] | None = None,
     """Count, mean, std (n-1), min, quartiles, max, G1, G2 per numeric column.
 
     Two passes whatever the number of columns: (1) every moment of every
-    column plus an HLL distinct estimate, one aggregate; (2) the quartiles,
-    exact, by the method the estimate allows (see ``fit_quantiles``). The
-    report is the unpivot of the two one-row results.
+    column, one aggregate; (2) the exact quartiles by ranks. The report is the unpivot of the two one-row results.
     """
     df = reusable(df, "summary-input")  # two passes below: a derived input is written once
     cols = list(columns) if columns is not None else numeric_columns(df)
@@ -273,11 +274,9 @@ def statistical_summary(df: DataFrame, columns: Sequence[str] | None = None,
         x = col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.skewness(x).alias(f"g1{i}"), F.kurtosis(x).alias(f"g2{i}"),
-                 F.approx_count_distinct(x).alias(f"d{i}")]
+                 F.skewness(x).alias(f"g1{i}"), F.kurtosis(x).alias(f"g2{i}")]
     row = df.agg(*aggs).first()
-    quart = fit_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy,
-                          distinct={c: int(row[f"d{i}"]) for i, c in enumerate(cols)})
+    quart = fit_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
     spark = df.sparkSession
     lit_rows = []
     for i, c in enumerate(cols):

@@ -9,8 +9,8 @@ Fits (each one aggregate, scalars back to the driver):
 Everything between fits is narrow: filters and projections that Catalyst
 collapses into one whole-stage-generated stage over the scan.
 
-Fits 3-5 read the same projection and are fused into one aggregate, so a
-fit is three passes. A derived input (joins/aggregates in its plan) is
+Quantiles are ranks over (column, value) counts, levels a grouping: no fit
+sends a column to one task. A derived input (joins/aggregates in its plan) is
 written once to the shared folder first, so those passes and the final
 transform re-read Parquet instead of re-running the upstream joins (and a
 lost executor costs one file, not the lineage).
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from riskspark.functions import constants as K
+from riskspark.functions.stats import fit_quantiles
 from riskspark.operators import clean as C
 from riskspark.operators import encode as E
 from riskspark.operators import features as FE
@@ -42,60 +43,20 @@ def cleaned(loans_df: DataFrame, missing: C.MissingPlan, winsor: C.WinsorBounds)
     return C.finalize(C.apply_winsor(C.apply_missing(loans_df, missing), winsor))
 
 
-def fit_features(clean_df: DataFrame, accuracy: int | None = None, distinct: dict[str, int] | None = None):
-    """Fits 3-5 fused: interaction cuts, one-hot levels and scaler statistics in ONE aggregate.
-
-    The scaler's ten numeric features do not depend on the interaction flags,
-    so all three fits read the same base-feature projection in one pass.
-    """
-    from pyspark.sql import functions as F
-
-    from riskspark.functions.columns import col
-    from riskspark.functions.stats import quantile_expr
-
-    from riskspark.functions.stats import MAX_EXACT_DISTINCT, fit_quantiles
-
+def fit_features(clean_df: DataFrame, accuracy: int | None = None):
+    """Fits 3-5 over the base-feature projection: interaction cuts (ranks), one-hot levels (grouping)
+    and scaler statistics (one aggregate). None of them gathers a column in one task."""
     base = FE.base_features(clean_df)
-    aggs = []
-    want_q = [c for c in ("dti_n", "loan_amnt", "fico_n") if c in base.columns]
-    est = distinct or {}
-    # low-cardinality (or sketched) quantiles ride in the fused pass; others use the rank method
-    fused_q = [c for c in want_q if accuracy is not None or est.get(c, MAX_EXACT_DISTINCT + 1) <= MAX_EXACT_DISTINCT]
-    for i, c in enumerate(fused_q):
-        aggs.append(quantile_expr(col(c), [0.25, 0.75], accuracy).alias(f"q{i}"))
-    text_levels = [c for c in K.CATEGORICAL_FEATURES if c in base.columns and c not in E.DECLARED_LEVELS]
-    for c in text_levels:  # collect_set state is bounded only for a categorical column: check first
-        if est.get(c, 0) > 2 * E.MAX_LEVELS:
-            raise ValueError(f"{c}: ~{est[c]} distinct values; not a categorical column for one-hot encoding")
-    for i, c in enumerate(text_levels):
-        aggs.append(F.array_sort(F.collect_set(col(c))).alias(f"l{i}"))
-    num = [c for c in K.NUMERIC_FEATURES if c in base.columns]
-    for i, c in enumerate(num):
-        aggs += [F.avg(col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(col(c).cast("double")).alias(f"s{i}")]
-    row = base.agg(*aggs).first()
-    q = {c: row[f"q{i}"] for i, c in enumerate(fused_q)}
-    rest = [c for c in want_q if c not in fused_q]
-    q.update(fit_quantiles(base, rest, [0.25, 0.75], distinct=est))
+    q = fit_quantiles(base, [c for c in ("dti_n", "loan_amnt", "fico_n") if c in base.columns], [0.25, 0.75], accuracy)
     cuts = FE.InteractionCuts(q["dti_n"][1] if q.get("dti_n") else None,
                               q["loan_amnt"][1] if q.get("loan_amnt") else None,
                               q["fico_n"][0] if q.get("fico_n") else None)
-    levels = {}
-    for c in K.CATEGORICAL_FEATURES:
-        if c in E.DECLARED_LEVELS and c in base.columns:
-            levels[c] = list(E.DECLARED_LEVELS[c])
-        elif c in text_levels:
-            vals = [str(v) for v in row[f"l{text_levels.index(c)}"]]
-            if len(vals) > E.MAX_LEVELS:
-                raise ValueError(f"{c}: {len(vals)} levels exceed {E.MAX_LEVELS}; not a categorical column")
-            levels[c] = vals
-    mean = {c: row[f"m{i}"] for i, c in enumerate(num)}
-    std = {c: (row[f"s{i}"] if row[f"s{i}"] not in (None, 0.0) else 1.0) for i, c in enumerate(num)}
-    return cuts, levels, E.ScalerParams(mean, std)
+    return cuts, E.fit_levels(base), E.fit_scaler(base)
 
 
 def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | None = None,
         fit_on: str = "all"):
-    """Fit the whole pipeline: three passes over the data, each one aggregate.
+    """Fit the whole pipeline.
 
     A derived input -- one whose plan has joins or aggregates, like the
     ``loans`` view -- is written once to the shared folder first and the
@@ -118,12 +79,12 @@ def fit(loans_df: DataFrame, accuracy: int | None = None, materialize: bool | No
         from riskspark.operators.split import stratified_split
 
         fit_rows = stratified_split(after_missing).filter(F.col("split") == "train").drop("split")
-    winsor = C.fit_winsor(fit_rows, accuracy=accuracy, distinct=missing.distinct)   # pass 2
+    winsor = C.fit_winsor(fit_rows, accuracy=accuracy)   # pass 2
     clean_df = C.finalize(C.apply_winsor(after_missing, winsor))
     fit_clean = clean_df if fit_on == "all" else C.finalize(C.apply_winsor(fit_rows, winsor))
-    cuts, levels, scaler = fit_features(fit_clean, accuracy=accuracy, distinct=missing.distinct)  # pass 3
+    cuts, levels, scaler = fit_features(fit_clean, accuracy=accuracy)  # pass 3
     if fit_on == "train":  # levels are a column decision: take them from the whole table
-        _, levels, _ = fit_features(clean_df, accuracy=accuracy, distinct=missing.distinct)
+        _, levels, _ = fit_features(clean_df, accuracy=accuracy)
     return FittedPipeline(missing, winsor, cuts, levels, scaler, source), clean_df
 
 
