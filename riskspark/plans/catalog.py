@@ -58,7 +58,7 @@ def after_missing(spark, sf) -> DataFrame:
 def winsorized(spark, sf) -> DataFrame:
     src, plan = _missing_fit(spark, sf)
     am = C.apply_missing(src, plan)
-    return C.apply_winsor(am, C.fit_winsor(am, distinct=plan.distinct))
+    return C.apply_winsor(am, C.fit_winsor(am))
 
 
 def clean_final(spark, sf) -> DataFrame:
@@ -97,8 +97,8 @@ def scored(spark, sf) -> DataFrame:
     return s.select("id", "split", col("Default").alias("label"), F.inline(models))
 
 
-def comparison(spark, sf) -> DataFrame:
-    return EV.model_comparison(scored(spark, sf), MODEL_ORDER)
+def comparison(spark, sf, rounded: bool = True) -> DataFrame:
+    return EV.model_comparison(scored(spark, sf), MODEL_ORDER, rounded=rounded)
 
 
 def applications(spark, sf) -> DataFrame:
@@ -283,6 +283,12 @@ def q_stratified_split(spark, sf):
     return split_loans(spark, sf).select("id", "Default", "split")
 
 
+def q_stratified_split_boundary(spark, sf):
+    """M1 with 16 buckets per class, so that buckets lie across the cuts: the same split."""
+    base = loans(spark, sf).select(K.KEY, K.TARGET)
+    return S.stratified_split(base, prefix_len=1).select("id", "Default", "split")
+
+
 def q_split_summary(spark, sf):
     return S.split_summary(split_loans(spark, sf))
 
@@ -309,6 +315,12 @@ def q_auc_roc(spark, sf):
     return _metrics(spark, sf).select("model", "split", r6(F.col("auc")).alias("auc"))
 
 
+def q_auc_roc_buckets(spark, sf):
+    """E1 over many value buckets (rows_per_bucket = 16): the plan of very many distinct scores."""
+    cum = EV.cumulative_table(scored(spark, sf), rows_per_bucket=16)
+    return EV.ranking_metrics(cum).select("model", "split", r6(F.col("auc")).alias("auc"))
+
+
 def q_gini(spark, sf):
     return _metrics(spark, sf).select("model", "split", r6(F.col("gini")).alias("gini"))
 
@@ -341,11 +353,11 @@ def q_model_comparison(spark, sf):
 
 
 def q_best_model(spark, sf):
-    return EV.best_model(comparison(spark, sf))
+    return EV.best_model(comparison(spark, sf, rounded=False))
 
 
 def q_leaderboard(spark, sf):
-    return EV.leaderboard(comparison(spark, sf))
+    return EV.leaderboard(comparison(spark, sf, rounded=False))
 
 
 def q_model_info(spark, sf):
@@ -354,7 +366,7 @@ def q_model_info(spark, sf):
     names = [c for c in table.columns if c != K.KEY]
     n_samples = table.count()
     board = comparison(spark, sf)
-    best = EV.best_model(board).select("best_model")
+    best = EV.best_model(comparison(spark, sf, rounded=False)).select("best_model")
     best_row = board.join(best, board["model_name"] == best["best_model"], "left_semi")
     return best_row.select("model_name", "test_auc", "test_gini", "test_ks",
                            F.lit(len(names) - 1).alias("features_count"),
@@ -439,7 +451,7 @@ def q_feature_importance(spark, sf):
 # ---- M/E/A with fitted models (rows-only: MLlib fits have no SQL statement) -----------
 
 GBT_ROUNDS = 30        # rounds for the registered queries; the operator default is the reference's 200
-LR_TUNE_ITER = 100
+LR_TUNE_ITER = 1000      # the fit stops by its tolerance
 
 
 def _model_split(spark, sf):

@@ -33,6 +33,7 @@ from riskspark.operators import split as S
 from riskspark.operators import train as T
 from riskspark.plans import pipeline as PL
 from riskspark.sources import loans as L
+from riskspark.session import materialize
 from riskspark.sources import sinks
 
 
@@ -58,7 +59,7 @@ def phase_eda(spark: SparkSession, loans: DataFrame, out: str) -> DataFrame:
     sinks.write_report_csv(P.missing_report(source), f"{out}/reports/missing")
     after = PL.C.apply_missing(source, missing)
     sinks.write_report_csv(P.iqr_outliers(after), f"{out}/reports/outliers")
-    winsor = PL.C.fit_winsor(after, distinct=missing.distinct)
+    winsor = PL.C.fit_winsor(after)
     clean_df = PL.C.finalize(PL.C.apply_winsor(after, winsor))
     sinks.write_report_csv(P.statistical_summary(clean_df), f"{out}/reports/statistical_summary")
     sinks.write_table(clean_df, f"{out}/tables/cleaned")
@@ -96,15 +97,18 @@ def phase_train(spark: SparkSession, engineered: DataFrame, out: str, gbt_rounds
     held_out = split.filter(F.col("split") != "train")
     parts = [T.score(tm, held_out, keep=[K.KEY, "split", K.TARGET]).select(
         F.lit(tm.name).alias("model"), "split", F.col(K.TARGET).alias("label"), "p") for tm in (lr, gbt)]
-    comparison = EV.model_comparison(parts[0].unionByName(parts[1]), [lr.name, gbt.name])
-    sinks.write_report_csv(comparison, f"{out}/reports/model_comparison")
-    best = EV.best_model(comparison).first()
+    exact = EV.model_comparison(parts[0].unionByName(parts[1]), [lr.name, gbt.name], rounded=False)
+    exact = materialize(exact, "comparison")  # a row for each model
+    metrics = [f"{s}_{m}" for s in ("val", "test") for m in EV.METRICS]
+    sinks.write_report_csv(exact.withColumns({m: EV.r6(F.col(m)) for m in metrics}), f"{out}/reports/model_comparison")
+    best = EV.best_model(exact).first()
+    by_model = {r["model_name"]: {m: r[m] for m in metrics} for r in exact.collect()}
     fields = ["model_name", "n_train", "n_val", "params", "best_iteration", "train_seconds"]
     record = {"best_model": best["best_model"],
               "performance": {"auc_roc": best["best_auc"], "gini": best["best_gini"], "ks_statistic": best["best_ks"]},
-              "runs": [dict(zip(fields, T.run_record(tm, n_train, n_val))) for tm in (lr, gbt)]}
+              "runs": [dict(zip(fields, T.run_record(tm, n_train, n_val)), metrics=by_model.get(tm.name)) for tm in (lr, gbt)]}
     sinks.write_metadata_json(sinks.metadata_record(spark, record), f"{out}/metadata/models")
-    return {"best_model": best["best_model"], "gbt": gbt, "features": feats}
+    return {"best_model": best["best_model"], "lr": lr, "gbt": gbt, "features": feats}
 
 
 def phase_explain(spark: SparkSession, engineered: DataFrame, gbt: T.TrainedModel, features, out: str) -> None:
@@ -120,16 +124,14 @@ def phase_score(spark: SparkSession, applications: DataFrame, scaler, out: str,
 
 def run_all(spark: SparkSession, loans: DataFrame, out: str, gbt_rounds: int = 200,
             applications: DataFrame | None = None) -> dict:
-    """All phases; scoring uses the stored scaler and the demonstration coefficient table."""
-    from riskspark.functions import scorecard as SC
-
+    """All phases; scoring uses the stored scaler and the logistic regression fitted here."""
     status = phase_load(spark, loans, out)
     cleaned = phase_eda(spark, loans, out)
     engineered, fitted = phase_features(spark, cleaned, out)
     trained = phase_train(spark, engineered, out, gbt_rounds=gbt_rounds)
     phase_explain(spark, engineered, trained["gbt"], trained["features"], out)
     if applications is not None:
-        phase_score(spark, applications, fitted.scaler, out, SC.COEFFICIENTS, SC.INTERCEPT)
+        phase_score(spark, applications, fitted.scaler, out, *T.coefficients(trained["lr"]))
     status["best_model"] = trained["best_model"]
     return status
 
@@ -149,7 +151,7 @@ def main(argv=None) -> None:
     elif args.phase == "eda":
         phase_eda(spark, loans, args.out)
     else:
-        apps = L.applications(loans) if args.sf_dir else None
+        apps = L.applications(loans)
         print(json.dumps(run_all(spark, loans, args.out, args.gbt_rounds, apps)))
 
 

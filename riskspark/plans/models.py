@@ -3,7 +3,8 @@
 The studied pipeline trains in one phase, saves its models, and the
 explanation phase loads them instead of training again. The registered
 queries work the same way: a fitted model is stored under
-``<spark.checkpoint.dir>/riskspark/models/<kind>-<key>``, where the key
+``<riskspark.model.dir>/<kind>-<key>`` (default: ``<spark.checkpoint.dir>/riskspark/models``,
+the same for every session), where the key
 covers
 
 * the input tables' file status (path, length, modification time, read
@@ -26,7 +27,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.session import shared_dir
+from riskspark.session import model_dir
 
 META = "meta.json"
 
@@ -95,7 +96,7 @@ def fit_or_load(spark: SparkSession, source: DataFrame, kind: str, params: dict,
     and storing it when absent. ``fit`` is called with no arguments and returns a ``TrainedModel``."""
     from riskspark.operators.train import TrainedModel
 
-    path = f"{shared_dir(spark).rstrip('/')}/riskspark/models/{kind}-{model_key(spark, source, kind, params, features)}"
+    path = f"{model_dir(spark)}/{kind}-{model_key(spark, source, kind, params, features)}"
     meta = _read_text(spark, f"{path}/{META}")
     if meta is not None:
         m = json.loads(meta)

@@ -299,7 +299,7 @@ N_ERR = " + ".join(f"CASE WHEN ({e}) IS NULL THEN 0 ELSE 1 END" for e in _ERRS)
 
 CHECKED = f"""checked AS (SELECT *, CAST({N_ERR} AS INTEGER) AS n_errors,
   concat_ws('|', {ERR_LIST}) AS errors, concat_ws('; ', {ERR_LIST}) AS details,
-  COALESCE(CAST(dti_n > 0.8E0 AS INTEGER), 0) AS high_dti_warning FROM apps),
+  COALESCE(CAST(dti_n > 0.8E0 AND dti_n <= 1.0E0 AS INTEGER), 0) AS high_dti_warning FROM apps),
 valid AS (SELECT application_id, revenue, loan_amnt, fico_n, dti_n, emp_length_numeric FROM checked WHERE n_errors = 0)"""
 
 _SERV = {
@@ -553,6 +553,7 @@ def _sql() -> dict[str, str]:
         for i, c in enumerate(manifest)]))
 
     o["stratified_split"] = W("SELECT id, \"Default\", split FROM split")
+    o["stratified_split_boundary"] = o["stratified_split"]
     o["split_summary"] = W("SELECT split, CAST(COUNT(*) AS BIGINT) AS n, "
                            f"{R6('COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE)')} AS share, "
                            f"{R6('AVG(\"Default\")')} AS default_rate FROM split GROUP BY split")
@@ -566,6 +567,7 @@ def _sql() -> dict[str, str]:
                               "FROM split WHERE split = 'train') t")
 
     o["auc_roc"] = W(f"SELECT model, split, {R6('auc')} AS auc FROM metrics")
+    o["auc_roc_buckets"] = o["auc_roc"]
     o["gini"] = W(f"SELECT model, split, {R6('gini')} AS gini FROM metrics")
     o["ks_statistic"] = W(f"SELECT model, split, {R6('ks')} AS ks FROM metrics")
     o["roc_curve"] = W(f"SELECT model, split, {R6('p')} AS threshold, "
