@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -58,6 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="riskspark-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -65,8 +68,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for an intermediate table."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/riskspark/{name}-{uuid.uuid4().hex[:12]}"
+    base = f"{shared_dir(spark).rstrip('/')}/riskspark/scratch-{spark.sparkContext.applicationId}"
+    if base not in _SCRATCH:
+        _SCRATCH.add(base)
+        atexit.register(_remove, spark.sparkContext, base)
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SCRATCH: set[str] = set()
+
+
+def _remove(sc, path: str) -> None:
+    """Delete this application's intermediates when the driver ends (a stopped context leaves them to the next clean-up)."""
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def model_dir(spark: SparkSession) -> str:
+    """Where fitted models stay between sessions: ``riskspark.model.dir`` if set, else a fixed folder
+    below the configured shared folder (not the random one that a SparkContext makes below it)."""
+    given = spark.conf.get("riskspark.model.dir", None)
+    if given:
+        return given.rstrip("/")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or shared_dir(spark)
+    return f"{base.rstrip('/')}/riskspark/models"
 
 
 def materialize(df, name: str):
@@ -83,9 +110,11 @@ def materialize(df, name: str):
 
 
 def is_plain_scan(df) -> bool:
-    """True when the plan is a file scan with projections/filters only (cheap to re-read)."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(op in plan for op in ("Join", "Aggregate", "Window", "Generate", "Union"))
+    """True when the optimized plan has only projections and filters over one file scan (cheap to re-read)."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    return node.children().isEmpty() and node.nodeName().startswith(("LogicalRelation", "Relation"))
 
 
 def reusable(df, name: str, materialize: bool | None = None):
@@ -96,14 +125,7 @@ def reusable(df, name: str, materialize: bool | None = None):
     return globals()["materialize"](df, name) if materialize else df
 
 
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
-
-
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -117,7 +139,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = pathlib.Path(__file__).resolve().parent
     buf = io.BytesIO()
@@ -131,4 +153,4 @@ def ship_package(spark: SparkSession) -> None:
     out.write(bytearray(buf.getvalue()))
     out.close()
     sc.addPyFile(target)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)

@@ -24,9 +24,12 @@ from riskspark.operators.encode import ScalerParams
 from riskspark.sources.loans import APPLICATION_SCHEMA
 
 
-def application_stream(spark: SparkSession, source_dir: str, files_per_trigger: int = 8) -> DataFrame:
-    return (spark.readStream.schema(APPLICATION_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(source_dir))
+def application_stream(spark: SparkSession, source_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The files of ``source_dir`` as a stream; ``files_per_trigger`` bounds a micro-batch (default: unbounded)."""
+    reader = spark.readStream.schema(APPLICATION_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(source_dir)
 
 
 def start(stream: DataFrame, scaler: ScalerParams, coefficients: Mapping[str, float], intercept: float,
