@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from riskspark.plans.catalog import QUERIES
+from riskspark.plans.oracles import ORACLES
 from riskspark.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -33,20 +35,19 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     sc, srows = _rows(df.columns, [tuple(r) for r in df.collect()])
-    cur = con.execute(E.oracle_sql()[name])
+    cur = con.execute(ORACLES[name])
     dc, drows = _rows([d[0] for d in cur.description], cur.fetchall())
     assert sc == dc
     assert srows == drows
 
 
 def test_every_query_registered_with_oracle_or_rows_only():
-    q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    rows_only = set(q) - set(o)
+    assert set(E.oracle_sql()) <= set(E.queries()) and set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
+    rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only == {"train_lr", "tune_lr", "train_gbt", "training_runs", "evaluate_trained",
                          "tree_attribution", "tree_importance"}
 

@@ -13,13 +13,14 @@ def test_rank_quantiles_equal_percentile_with_hot_value(spark, monkeypatch):
     vals = [round(rng.lognormvariate(10, 1), 2) for _ in range(3000)] + [50000.0] * 1500  # a third is one value
     df = spark.createDataFrame([(v, float(i % 17)) for i, v in enumerate(vals)], "x double, y double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0, 1 / 3]
-    want = fit_quantiles(df, ["x", "y"], probs, max_exact_distinct=10**9)
+    row = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in ("x", "y")]).first()
+    want = {c: list(row[c]) for c in ("x", "y")}
     orig = R.cumulative_by_value
     monkeypatch.setattr(R, "cumulative_by_value", lambda *a, **k: orig(*a, **{**k, "rows_per_bucket": 97}))
     got = R.exact_quantiles_by_rank(df, ["x", "y"], probs)
     assert got == want
     # forcing the rank path through the public entry point gives the same numbers
-    assert fit_quantiles(df, ["x", "y"], probs, max_exact_distinct=0) == want
+    assert fit_quantiles(df, ["x", "y"], probs) == want
 
 
 def test_cumulative_by_value_matches_brute_force(spark):
