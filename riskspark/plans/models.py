@@ -7,8 +7,8 @@ queries work the same way: a fitted model is stored under
 the same for every session), where the key
 covers
 
-* the input tables' file status (path, length, modification time, read
-  through the Hadoop FileSystem, so it works on HDFS / S3 / local alike),
+* the input tables' file status (path, length, modification time, listed by
+  a Spark file scan without contents, so it works on HDFS / S3 / local alike),
 * the fit parameters and the feature list,
 * the package source (changed code never reuses an older model).
 
@@ -23,9 +23,11 @@ import hashlib
 import json
 import pathlib
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskspark.session import model_dir
 
@@ -48,14 +50,15 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(sc._jsc.hadoopConfiguration()), jpath
 
 
-def input_signature(spark: SparkSession, df: DataFrame) -> list[tuple]:
-    """(file, length, modification time) of every file the plan scans (metadata calls only)."""
-    out = []
-    for f in sorted(df.inputFiles()):
-        fs, p = _fs(spark, f)
-        st = fs.getFileStatus(p)
-        out.append((f, int(st.getLen()), int(st.getModificationTime())))
-    return out
+def input_signature(spark: SparkSession, df: DataFrame) -> list:
+    """[files, digest over (file, length, modification time)] of every file the plan scans: listed and
+    added up by Spark, the contents aren't read and no file costs a call from the driver's Python."""
+    files = [unquote(f) for f in df.inputFiles()]
+    if not files:
+        return [0, 0]
+    listed = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+    digest = F.xxhash64("path", "length", F.unix_micros("modificationTime")).cast("decimal(38,0)")
+    return [str(v) for v in listed.agg(F.count(F.lit(1)), F.sum(digest)).first()]
 
 
 def model_key(spark: SparkSession, source: DataFrame, kind: str, params: dict, features: Sequence[str]) -> str:
