@@ -1,7 +1,9 @@
 """End-to-end phases as Spark jobs (what a user runs phase by phase).
 
     python -m riskspark.plans.jobs all --sf-dir /root/testdata/sf0.1 --out <shared path>
-    python -m riskspark.plans.jobs all --loans <loans parquet|csv> --out <shared path>
+    python -m riskspark.plans.jobs all --loans <loans table> --format csv --out <shared path>
+
+Each phase also runs alone: it reads what the phases before it left under ``--out``.
 
 Phases and their outputs under ``--out``:
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +34,17 @@ from riskspark.operators import evaluate as EV
 from riskspark.operators import profile as P
 from riskspark.operators import split as S
 from riskspark.operators import train as T
+from riskspark.operators.encode import ScalerParams
 from riskspark.plans import pipeline as PL
 from riskspark.sources import loans as L
 from riskspark.session import materialize
 from riskspark.sources import sinks
 
 
-def load_loans(spark: SparkSession, loans_path: str | None = None, sf_dir: str | None = None) -> DataFrame:
+def load_loans(spark: SparkSession, loans_path: str | None = None, sf_dir: str | None = None,
+               source_format: str = "parquet") -> DataFrame:
     if loans_path:
-        return L.load_csv(spark, loans_path) if loans_path.endswith(".csv") else spark.read.parquet(loans_path)
+        return L.load_csv(spark, loans_path) if source_format == "csv" else spark.read.parquet(loans_path)
     if sf_dir:
         return L.loans(spark, sf_dir)
     raise ValueError("give --loans or --sf-dir")
@@ -136,23 +141,51 @@ def run_all(spark: SparkSession, loans: DataFrame, out: str, gbt_rounds: int = 2
     return status
 
 
+def run_phase(spark: SparkSession, phase: str, out: str, loans: Callable[[], DataFrame],
+              applications: DataFrame | None = None, gbt_rounds: int = 200):
+    """One phase alone, from the tables, models and metadata of earlier phases under ``out``."""
+    if phase == "load":
+        return phase_load(spark, loans(), out)
+    if phase == "eda":
+        return phase_eda(spark, loans(), out)
+    if phase == "features":
+        return phase_features(spark, spark.read.parquet(f"{out}/tables/cleaned"), out)
+    engineered = spark.read.parquet(f"{out}/tables/engineered")
+    feats = PL.model_columns(engineered)
+    if phase == "train":
+        return phase_train(spark, engineered, out, gbt_rounds=gbt_rounds)
+    if phase == "explain":
+        gbt = T.TrainedModel("Gradient Boosted Trees", sinks.load_model(f"{out}/models/gradient_boosted_trees"), feats)
+        return phase_explain(spark, engineered, gbt, feats, out)
+    if phase == "score":
+        record = json.loads(sinks.read_metadata_json(spark, f"{out}/metadata/features").first()["record"])
+        lr = T.TrainedModel("Logistic Regression", sinks.load_model(f"{out}/models/logistic_regression"), feats)
+        apps = L.applications(loans()) if applications is None else applications
+        return phase_score(spark, apps, ScalerParams(**record["scaler"]), out, *T.coefficients(lr))
+    raise ValueError(f"unknown phase {phase}")
+
+
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="riskspark.plans.jobs")
-    ap.add_argument("phase", choices=["all", "load", "eda"])
+    ap.add_argument("phase", choices=["all", "load", "eda", "features", "train", "explain", "score"])
     ap.add_argument("--loans")
+    ap.add_argument("--format", choices=["parquet", "csv"], default="parquet", help="of --loans")
     ap.add_argument("--sf-dir")
+    ap.add_argument("--applications", help="Parquet table to score; default: the applications view of the loans")
     ap.add_argument("--out", required=True)
     ap.add_argument("--gbt-rounds", type=int, default=200)
     args = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    loans = load_loans(spark, args.loans, args.sf_dir)
-    if args.phase == "load":
-        print(json.dumps(phase_load(spark, loans, args.out)))
-    elif args.phase == "eda":
-        phase_eda(spark, loans, args.out)
+
+    def loans() -> DataFrame:
+        return load_loans(spark, args.loans, args.sf_dir, args.format)
+
+    apps = spark.read.parquet(args.applications) if args.applications else None
+    if args.phase == "all":
+        table = loans()
+        print(json.dumps(run_all(spark, table, args.out, args.gbt_rounds, L.applications(table) if apps is None else apps)))
     else:
-        apps = L.applications(loans)
-        print(json.dumps(run_all(spark, loans, args.out, args.gbt_rounds, apps)))
+        run_phase(spark, args.phase, args.out, loans, apps, args.gbt_rounds)
 
 
 if __name__ == "__main__":

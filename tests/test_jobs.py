@@ -19,3 +19,10 @@ def test_all_phases(spark, sf_small):
     assert spark.read.parquet(f"{out}/tables/decisions").count() + spark.read.parquet(
         f"{out}/tables/rejected").count() == n_apps
     assert "best_model" in spark.read.json(f"{out}/metadata/models").first()["record"]
+    # phases alone, from what the others left: the stored model and scaler give the same decisions
+    want = spark.read.parquet(f"{out}/tables/decisions").drop("prediction_timestamp").orderBy("application_id").toPandas()
+    jobs.run_phase(spark, "score", out, lambda: loans)
+    got = spark.read.parquet(f"{out}/tables/decisions").drop("prediction_timestamp").orderBy("application_id").toPandas()
+    assert got.equals(want)
+    jobs.run_phase(spark, "explain", out, lambda: loans)
+    assert spark.read.option("header", True).csv(f"{out}/reports/feature_importance").count() == 43
