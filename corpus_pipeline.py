@@ -18,11 +18,16 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component: the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_semi")
-    row = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
-    return kept.withColumn("row_of_id", F.row_number().over(row)).where("row_of_id = 1").select(*docs.columns)
+    """Keeps one document of each SimHash component: the one with the smallest doc_id (a NULL one ranks last, and among
+    equal ones a hash of the row decides). Different texts stay even where they share a doc_id or have none."""
+    key = [F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in docs.columns]) for k in (1, 2)]  # rows equal in every column are one
+    marked = docs.select("*", key[0].alias("__row_hi"), key[1].alias("__row_lo"))
+    found = simhash.near_duplicates(marked, keep=["__row_hi", "__row_lo"])
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row_hi", "__row_lo")).alias("best")
+    winners = found.groupBy("root").agg(best).select("best.__row_hi", "best.__row_lo")
+    kept = marked.join(winners, ["__row_hi", "__row_lo"], "left_semi")
+    one = Window.partitionBy("__row_hi", "__row_lo").orderBy("__row_hi")
+    return kept.withColumn("__row_of_key", F.row_number().over(one)).where("__row_of_key = 1").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

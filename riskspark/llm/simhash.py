@@ -49,16 +49,20 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
+def with_fingerprint(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text",
+                     keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and the columns of ``docs`` that ``keep`` names (other names than these)."""
+    kept = docs.select(*(keep or [])).schema
+    inner = [f"k{i}" for i in range(len(kept))]
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(t, shingle_words) for t in raw_strings(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, type=pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, type=pa.int64()), *b.columns[2:]], ["doc_id", "fp", *inner])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return with_python(src).mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(kept.names, inner)])
+    types = ", ".join(["doc_id long, fp long", *(f"{k} {f.dataType.simpleString()}" for k, f in zip(inner, kept))])
+    return with_python(src).mapInArrow(run, types).withColumnsRenamed(dict(zip(inner, kept.names)))
 
 
 def ball_masks(max_bits: int) -> tuple[list[int], list[int]]:
@@ -91,21 +95,22 @@ def ball_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (long), component_id.
+                    id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (long), component_id, root (long), and the columns that ``keep`` names.
 
     component_id is the smallest doc_id that can be reached over fingerprints that differ in at most
-    ``max_bits`` bits, the row's own included. A NULL text has no words: fingerprint zero, linked like
+    ``max_bits`` bits, the row's own included; root is the smallest fingerprint of the component, the
+    same for all its rows and no others. A NULL text has no words: fingerprint zero, linked like
     any other. A NULL doc_id is ignored by the minimum (NULL only where a component has no other id).
     Repeated rows stay repeated. Other columns are not read. An empty table gives no rows.
     """
-    marked = stage(with_fingerprint(docs, shingle_words, id_col, text_col), "fingerprints")
+    marked = stage(with_fingerprint(docs, shingle_words, id_col, text_col, keep), "fingerprints")
     low = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-low")
     roots = components(ball_links(low.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     rooted = low.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = rooted.join(first, "root").select("fp", "component_id")
-    return marked.join(member, "fp").select("doc_id", "fp", "component_id")
+    member = rooted.join(first, "root").select("fp", "component_id", "root")
+    return marked.join(member, "fp").select("doc_id", "fp", "component_id", "root", *(keep or []))
 
 
 def fp_hex(column="fp"):

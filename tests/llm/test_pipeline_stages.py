@@ -62,6 +62,15 @@ def test_packing_stage_packs_what_is_left(outputs):
     check_packing(after.collect(), {r.doc_id: r.text for r in rows(before)}, 2048)
 
 
+def test_near_duplicate_stage_with_missing_and_shared_ids(spark):
+    """Clean documents stay whatever their ids; of a group one stays, with the smallest id."""
+    a, b, c, d = ("one text about rivers and boats", "another text about hills and snow", "a third text about bread and butter", "a fourth text about trains and rails")
+    docs = [(None, a, "en", "s", 1), (None, b, "en", "s", 2), (None, b, "en", "t", 2), (5, c, "en", "s", 3), (None, c, "en", "s", 3),
+            (7, d, "en", "s", 4), (7, a + " " + d, "en", "s", 5), (9, d, "de", "s", 4), (7, d, "en", "s", 4)]
+    got = pipe.drop_near_duplicates(spark, spark.createDataFrame(docs, SCHEMA), SF).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, a), (None, b), (5, c), (7, d), (7, a + " " + d)])
+
+
 def test_edges(spark):
     docs = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12 --", "en", "s", 5), (4, "some words of a text", "en", "s", 20), (4, "some words of a text", "en", "s", 20), (5, "Some Words of a text", None, "s", 20),
             (7, "x" * 50_000, "en", "s", 50_000), (None, "no id but text", "en", "s", 14)]
