@@ -13,8 +13,10 @@ import collections
 import hashlib
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ from riskspark.llm.common import raw_strings, to_batch, with_python
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
+#: Text of documents that is searched for one block of items before the next block's turn: with more
+#: blocks than a worker keeps tables, they are built anew once for this much text.
+SLICE_BYTES = 8 << 20
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -118,7 +123,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
-               keep: list[str] | None = None) -> DataFrame:
+               keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, spans (array of start, end in words), items (sorted).
 
     A NULL text has no words. An item without words has no window; repeated items count once; a NULL
@@ -146,8 +151,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
     def run(batches):
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
+            for first, n in slices(b.column("__text"), slice_bytes):
+                part = b.slice(first, n)
                 texts, ids = raw_strings(part.column("__text")), part.column("__id").to_pylist()
                 got = to_batch([(d, *x) for d, x in zip(ids, scan(texts))], found_schema)
                 left = [part.column(i) for i in range(len(kept))]
@@ -159,6 +164,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     return res.select(*[F.col(c) for c in keep or []], *[F.col(f"__{n}").alias(n) for n in found_schema.names if not (keep and n in keep)])
 
 
+def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, rows) of consecutive slices of at most ``limit`` bytes; a longer text is a slice of its own."""
+    first = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > first and size + (n or 0) > limit:
+            yield first, i - first
+            first, size = i, 0
+        size += n or 0
+    if first < len(texts):
+        yield first, len(texts) - first
+
+
 def leak_report(found: DataFrame) -> DataFrame:
     """The digest columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),

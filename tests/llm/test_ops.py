@@ -244,8 +244,8 @@ def slow_leaks(text, items, window=10):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_leaks_equal_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes,slice_bytes", [(1 << 20, 8 << 20), (60, 100)])
+def test_leaks_equal_brute_force(spark, block_bytes, slice_bytes):
     rng = np.random.default_rng(4)
     vocab = ["a", "b", "Été", "d1", "e", "ZZ"]
     say = lambda n: " ".join(rng.choice(vocab, n))
@@ -253,7 +253,7 @@ def test_leaks_equal_brute_force(spark, block_bytes):
     texts = [None, "", "--", "a", "b", *[say(int(n)) for n in rng.integers(1, 90, 40)], say(3000), items[2][1] + " x", "x," + items[1][1].upper() + "!"]
     bench = spark.createDataFrame(items, "item_id string, text string")
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], DOCS + ", n_words int")
-    got = {r.doc_id: r for r in decontam.leak_report(decontam.find_leaks(docs, bench, block_bytes=block_bytes)).collect()}
+    got = {r.doc_id: r for r in decontam.leak_report(decontam.find_leaks(docs, bench, block_bytes=block_bytes, slice_bytes=slice_bytes)).collect()}
     for i, t in enumerate(texts):
         r = got[i]
         want = slow_leaks(t, items)
