@@ -7,6 +7,7 @@ whole extent; float outputs are rounded to 6 places, lists are rendered with
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -463,23 +464,34 @@ def _model_split(spark, sf):
     return S.stratified_split(eng), feats
 
 
-def _lr(spark, sf):
+def _fit_or_load(spark, sf, kind, params, fit, split=None):
+    """(model, split): the store is looked up first; ``split()`` gives (split table, features) and runs
+    the feature pipeline only when it is called, at most once. The features follow from the inputs and
+    the code, which the store's key covers."""
+    from riskspark.plans.models import fit_or_load
+
+    split = split or functools.cache(lambda: _model_split(spark, sf))
+    return fit_or_load(spark, loans(spark, sf), kind, params, [], lambda: fit(*split())), split
+
+
+def _part(sp, name):
+    return sp.filter(F.col("split") == name)
+
+
+def _lr(spark, sf, split=None):
     """The balanced L2 logistic regression on the training split: fitted once, then loaded
     from the model store (as the explain and scoring phases load the saved model)."""
     from riskspark.operators import train as T
-    from riskspark.plans.models import fit_or_load
 
-    sp, feats = _model_split(spark, sf)
-    tm = fit_or_load(spark, loans(spark, sf), "lr", {"C": 1.0, "max_iter": 1000, "balanced": True}, feats,
-                     lambda: T.train_logistic(sp.filter(F.col("split") == "train"), feats))
-    return tm, sp, feats
+    return _fit_or_load(spark, sf, "lr", {"C": 1.0, "max_iter": 1000, "balanced": True},
+                        lambda sp, feats: T.train_logistic(_part(sp, "train"), feats), split)
 
 
 def q_train_lr(spark, sf):
     """M5: coefficient table of the balanced L2 logistic regression."""
     from riskspark.operators import train as T
 
-    tm, _, _ = _lr(spark, sf)
+    tm, _ = _lr(spark, sf)
     return T.coefficient_table(tm)
 
 
@@ -494,27 +506,24 @@ def q_tune_lr(spark, sf):
 def _gbt(spark, sf, split=None):
     """The early-stopped boosted trees: fitted once, then loaded from the model store."""
     from riskspark.operators import train as T
-    from riskspark.plans.models import fit_or_load
 
-    sp, feats = split or _model_split(spark, sf)
-    tm = fit_or_load(spark, loans(spark, sf), "gbt", {"max_iter": GBT_ROUNDS, "early_stopping": 20}, feats,
-                     lambda: T.train_gbt(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val"),
-                                         feats, max_iter=GBT_ROUNDS))
-    return tm, sp, feats
+    return _fit_or_load(spark, sf, "gbt", {"max_iter": GBT_ROUNDS, "early_stopping": 20},
+                        lambda sp, feats: T.train_gbt(_part(sp, "train"), _part(sp, "val"), feats, max_iter=GBT_ROUNDS), split)
 
 
 def q_train_gbt(spark, sf):
     """M7: feature importances of the early-stopped boosted trees."""
     from riskspark.operators import train as T
 
-    tm, _, _ = _gbt(spark, sf)
+    tm, _ = _gbt(spark, sf)
     return T.feature_importance_table(tm)
 
 
 def q_training_runs(spark, sf):
     """One record per fitted model: sizes and the parameters that depend on the data."""
-    lr, sp, feats = _lr(spark, sf)
-    gbt, _, _ = _gbt(spark, sf, (sp, feats))
+    lr, split = _lr(spark, sf)
+    gbt, _ = _gbt(spark, sf, split)
+    sp, _ = split()
     sizes = {r["split"]: r["n"] for r in sp.groupBy("split").count().withColumnRenamed("count", "n").collect()}
     rows = [(tm.name, sizes.get("train", 0), sizes.get("val", 0), len(tm.features), int(tm.params["max_iter"]),
              tm.params.get("regParam"), tm.params.get("scale_pos_weight")) for tm in (lr, gbt)]
@@ -527,7 +536,8 @@ def q_train_lr_optimum(spark, sf):
     """M5 checked: the gradient of the objective at the fitted coefficients is 0, term by term."""
     from riskspark.operators import train as T
 
-    tm, sp, _ = _lr(spark, sf)
+    tm, split = _lr(spark, sf)
+    sp, _ = split()
     g = T.logistic_gradient(tm, sp.filter(F.col("split") == "train"))
     return g.select("feature", (F.abs(F.col("gradient")) < GRADIENT_TOLERANCE).cast("int").alias("at_optimum"))
 
@@ -552,8 +562,9 @@ def q_evaluate_trained(spark, sf):
     """E1-E9 on the two fitted models' validation and test scores."""
     from riskspark.operators import train as T
 
-    lr, sp, feats = _lr(spark, sf)
-    gbt, _, _ = _gbt(spark, sf, (sp, feats))
+    lr, split = _lr(spark, sf)
+    gbt, _ = _gbt(spark, sf, split)
+    sp, _ = split()
     held_out = sp.filter(F.col("split") != "train")
     parts = []
     for tm in (lr, gbt):
@@ -568,8 +579,9 @@ def q_evaluate_trained_counts(spark, sf):
     counts agree with them."""
     from riskspark.operators import train as T
 
-    lr, sp, feats = _lr(spark, sf)
-    gbt, _, _ = _gbt(spark, sf, (sp, feats))
+    lr, split = _lr(spark, sf)
+    gbt, _ = _gbt(spark, sf, split)
+    sp, _ = split()
     held_out = sp.filter(F.col("split") != "train")
     parts = [T.score(tm, held_out, keep=["id", "split", "Default"]).select(
         F.lit(tm.name).alias("model"), "split", F.col("Default").alias("label"), "p") for tm in (lr, gbt)]
@@ -582,7 +594,8 @@ def q_evaluate_trained_counts(spark, sf):
 
 def q_tree_attribution(spark, sf):
     """A1: per-row log-odds contributions of the boosted trees over the whole table."""
-    tm, sp, feats = _gbt(spark, sf)
+    tm, split = _gbt(spark, sf)
+    sp, feats = split()
     weights, trees = A.gbt_node_table(tm.model.stages[-1], spark, feats)
     return A.tree_attribution(sp, feats, weights, trees)
 
@@ -591,7 +604,8 @@ def q_tree_attribution_additive(spark, sf):
     """A1 checked for every row: base value plus contributions is the model's own log-odds."""
     from pyspark.ml.functions import vector_to_array
 
-    tm, sp, feats = _gbt(spark, sf)
+    tm, split = _gbt(spark, sf)
+    sp, feats = split()
     weights, trees = A.gbt_node_table(tm.model.stages[-1], spark, feats)
     attr = A.tree_attribution(sp, feats, weights, trees)
     total = F.col("base_value")
@@ -621,7 +635,8 @@ def q_linear_attribution_wide(spark, sf):
 
 def q_tree_importance(spark, sf):
     """A3/A4 for the boosted trees: mean |contribution| per feature, ranked."""
-    tm, sp, feats = _gbt(spark, sf)
+    tm, split = _gbt(spark, sf)
+    sp, feats = split()
     weights, trees = A.gbt_node_table(tm.model.stages[-1], spark, feats)
     return A.rank_importance(A.tree_importance(A.tree_attribution(sp, feats, weights, trees), feats))
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,13 +110,32 @@ def phase_train(spark: SparkSession, engineered: DataFrame, out: str, gbt_rounds
     best = EV.best_model(exact).first()
     by_model = {r["model_name"]: {m: r[m] for m in metrics} for r in exact.collect()}
     fields = ["model_name", "n_train", "n_val", "params", "best_iteration", "train_seconds"]
-    record = {"best_model": best["best_model"],
+    record = {"best_model": best["best_model"], "version": K.MODEL_VERSION,
+              "training_date": datetime.now(timezone.utc).date().isoformat(),
               "performance": {"auc_roc": best["best_auc"], "gini": best["best_gini"], "ks_statistic": best["best_ks"]},
               "runs": [dict(zip(fields, T.run_record(tm, n_train, n_val)), metrics=by_model.get(tm.name)) for tm in (lr, gbt)]}
     sinks.write_metadata_json(sinks.metadata_record(spark, record), f"{out}/metadata/models")
     return {"best_model": best["best_model"], "lr": lr, "gbt": gbt, "features": feats}
 
 
+def model_info(spark: SparkSession, out: str) -> DataFrame:
+    """The model-info record (one row) from the metadata that ``features`` and ``train`` left.
+
+    Without ``metadata/features`` there is no model to describe: an error. Without ``metadata/models``, or for
+    a field that it lacks, the fixed fallback values hold; the performance is then not that of a model here.
+    """
+    features = sinks.read_record(spark, f"{out}/metadata/features")
+    if not features:
+        raise ValueError(f"no model information under {out}: run the features phase first")
+    stored = sinks.read_record(spark, f"{out}/metadata/models")
+    models = stored or K.MODEL_INFO_FALLBACK
+    row = (K.MODEL_DISPLAY_NAME, models.get("version", K.MODEL_INFO_FALLBACK["version"]), models.get("best_model"),
+           models.get("training_date", K.MODEL_INFO_FALLBACK["training_date"]), len(features.get("all_features", [])),
+           models.get("performance", {}), bool(stored))
+    return spark.createDataFrame([row], "model_name string, version string, algorithm string, training_date string, "
+                                        "features_count int, performance_metrics map<string,double>, from_metadata boolean")
+
+
 def phase_explain(spark: SparkSession, engineered: DataFrame, gbt: T.TrainedModel, features, out: str) -> None:
     weights, trees = A.gbt_node_table(gbt.model.stages[-1], spark, features)
     attr = A.tree_attribution(engineered, features, weights, trees)

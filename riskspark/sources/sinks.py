@@ -43,6 +43,14 @@ def read_metadata_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+def read_record(spark: SparkSession, path: str) -> dict:
+    """A dict written by ``metadata_record``; empty where there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return {}
+    return json.loads(read_metadata_json(spark, path).first()["record"])
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Model persistence in MLlib's own format (metadata JSON + Parquet node/coef tables)."""
     model.write().overwrite().save(path)

@@ -45,3 +45,15 @@ def test_rewritten_input_changes_key(spark):
     assert k1 == M.model_key(spark, spark.read.parquet(path), "lr", {}, ["id"])
     spark.range(20).write.mode("overwrite").parquet(path)  # same path, new content
     assert k1 != M.model_key(spark, spark.read.parquet(path), "lr", {}, ["id"])
+
+
+def test_stored_model_needs_no_pipeline(spark, sf_small, monkeypatch):
+    from riskspark.plans import catalog
+
+    first = catalog.q_train_lr(spark, sf_small).collect()
+
+    def fail(*_):
+        raise AssertionError("the feature pipeline ran")
+
+    monkeypatch.setattr(catalog, "_model_split", fail)
+    assert catalog.q_train_lr(spark, sf_small).collect() == first
