@@ -5,7 +5,8 @@ Merkle hash of its subtree (tag, attributes that name it, text, children). Spark
 how many pages of different content a subtree occurs; subtrees that recur across many pages of their
 host are its template and are deleted. What is not main text by its kind (scripts, styles, forms,
 navigation, and elements that call themselves header, sidebar, advert, notice, comments and the like)
-is deleted even where it occurs once. What remains is read block by block.
+is deleted even where it occurs once. What remains of the whole page is read block by block; article and
+main elements only say which subtrees hold the page's content and so are never template.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from pyspark.sql import functions as F
 from riskspark.llm.common import chunked, stage, with_python
 from riskspark.llm.urlgraph import host_of
 
-#: Pages of different content, and share of the host's, from which a subtree is template.
+#: Pages of different content from which a subtree is template, however many pages its host has.
 MIN_PAGES = 3
-MIN_SHARE = 0.001
 #: Largest table of templates that is sent to every executor; beyond it the pages are joined with it.
 SEND_TEMPLATES = 2_000_000
 
@@ -61,10 +61,10 @@ def _names(attrs: str) -> tuple[str, bool, bool]:
 
 
 class Node:
-    __slots__ = ("tag", "names", "drop", "kids", "hash", "size")
+    __slots__ = ("tag", "names", "drop", "kids", "hash", "size", "core")
 
     def __init__(self, tag: str, names: str = "", drop: bool = False):
-        self.tag, self.names, self.drop, self.kids, self.hash, self.size = tag, names, drop, [], 0, 0
+        self.tag, self.names, self.drop, self.kids, self.hash, self.size, self.core = tag, names, drop, [], 0, 0, 0
 
 
 def parse(text: str) -> Node:
@@ -138,48 +138,61 @@ def _walk(root: Node) -> list[Node]:
 
 
 def hash_tree(root: Node) -> None:
-    """Merkle hashes, and the text length of every subtree outside what is dropped by its kind."""
+    """Merkle hashes, and the text length of every subtree outside what is dropped by its kind: in all, and within
+    article and main elements (``core``)."""
     for node in _walk(root):
         h = xxhash.xxh3_64(f"{node.tag}\x1f{node.names}\x1e".encode())
-        size = 0
+        size = core = 0
         for k in node.kids:
             if isinstance(k, Node):
                 h.update(k.hash.to_bytes(8, "big"))
                 size += k.size
+                core += k.core
             elif s := k.strip():
                 h.update(b"\x1d" + s.encode("utf-8", "surrogatepass"))
                 size += len(s)
-        node.hash, node.size = h.intdigest(), 0 if node.drop else size
+        node.hash = h.intdigest()
+        if not node.drop:
+            node.size, node.core = size, size if node.tag in ("article", "main") else core
 
 
-def main_root(root: Node) -> Node:
-    """The largest article or main element that isn't dropped, else the page."""
-    best, todo = None, [root]
+def content_key(root: Node) -> int:
+    """Hash of all article and main elements that aren't dropped, in page order; without such, of the page."""
+    if not root.core:
+        return root.hash
+    h, todo = xxhash.xxh3_64(), [root]
     while todo:
         node = todo.pop()
-        if node.drop:
+        if node.drop or not node.core:
             continue
-        if node.tag in ("article", "main") and (best is None or node.size > best.size):
-            best = node
-        todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
-    return best if best is not None and best.size else root
+        if node.tag in ("article", "main"):
+            h.update(node.hash.to_bytes(8, "big"))
+        else:
+            todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    return h.intdigest()
+
+
+def may_be_template(node: Node, root: Node) -> bool:
+    """Not prose, not inline, and without more than half of the text in the page's article and main elements, or of
+    the page where it has none."""
+    if node.tag in PROSE or node.tag in INLINE or node.tag in ("#root", "head"):
+        return False
+    return 2 * node.core <= root.core if root.core else 2 * node.size <= root.size
 
 
 def subtrees(text: str) -> tuple[int, list[int]]:
-    """(content key, hashes of the subtrees that may be template). Prose, inline elements, and what holds
-    more than half of the page's main text are content."""
+    """(content key, hashes of the subtrees that may be template)."""
     root = parse(text)
     hash_tree(root)
-    main = main_root(root)
     out, todo = set(), [root]
     while todo:
         node = todo.pop()
-        if node.tag not in PROSE and node.tag not in INLINE and node.tag not in ("#root", "head") and 2 * node.size <= main.size:
+        if may_be_template(node, root):
             out.add(node.hash)
             if node.drop:
                 continue
         todo += [k for k in node.kids if isinstance(k, Node)]
-    return main.hash, sorted(out)
+    return content_key(root), sorted(out)
 
 
 def _signed(x: int) -> int:
@@ -190,7 +203,6 @@ def extract(text: str, template=frozenset()) -> str:
     """The blocks of the main text, one line each."""
     root = parse(text)
     hash_tree(root)
-    main = main_root(root)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -200,14 +212,14 @@ def extract(text: str, template=frozenset()) -> str:
         if line:
             blocks.append(line)
 
-    todo: list = [main]
+    todo: list = [root]
     while todo:
         k = todo.pop()
         if isinstance(k, str):
             run.append(k)
         elif k is None:
             flush()
-        elif k.drop or (k is not main and k.tag not in PROSE and k.tag not in INLINE and 2 * k.size <= main.size and k.hash in template):
+        elif k.drop or (k.hash in template and may_be_template(k, root)):
             if k.tag not in INLINE:
                 flush()
         elif k.tag in INLINE:
@@ -222,7 +234,7 @@ def extract(text: str, template=frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def templates_of(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates_of(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, h): template subtrees. Pages of equal main content count once. pages: (host, html)."""
     schema = pa.schema([("host", pa.string()), ("content", pa.int64()), ("h", pa.int64())])
 
@@ -230,28 +242,25 @@ def templates_of(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
         for b in batches:
             for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 content, hashes = subtrees(text)
-                yield host, _signed(content), None
                 for h in hashes:
                     yield host, _signed(content), _signed(h)
 
     seen = with_python(pages.select("host", "html")).mapInArrow(lambda bs: chunked(rows(bs), schema, max_rows=1 << 15), "host string, content long, h long").distinct()
-    counts = seen.groupBy("host", "h").agg(F.count("*").alias("n"))  # h is NULL for the host's own count
-    counts = stage(counts.where(F.col("h").isNull() | (F.col("n") >= min_pages)), "subtrees")
-    hosts = counts.where("h IS NULL").select("host", F.col("n").alias("pages"))
-    return counts.where("h IS NOT NULL").join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "h")
+    return seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "h")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, send_templates: int = SEND_TEMPLATES) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, send_templates: int = SEND_TEMPLATES) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text.
 
     NULL or empty html: empty text. A NULL url has the empty host, which is a host like any other.
     Prose (paragraphs, headings, list items, tables) is never template by itself, however often it
-    recurs, and a subtree with over half of the page's main text never is. Repeated rows stay, and
-    count once for the template. An empty table gives no rows.
+    recurs, and a subtree with over half of the text in the page's article and main elements (or of the page's
+    text where it has none) never is. Text outside these elements stays unless it is template or of a dropped
+    kind. Repeated rows stay, and count once for the template. An empty table gives no rows.
     """
     spark = pages.sparkSession
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    found = stage(templates_of(base, min_pages, min_share), "templates")
+    found = stage(templates_of(base, min_pages), "templates")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     ddl = "page_id long, url string, text string"
     base = base.withColumn("page_id", F.col("page_id").cast("long"))

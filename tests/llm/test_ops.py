@@ -462,6 +462,22 @@ def test_html_on_the_table_is_the_article(spark):
         assert got[r.page_id] == "\n".join(p for p in parts if p)
 
 
+def test_html_reads_every_article_and_the_text_between():
+    page = "<body><p>intro</p><article><p>first story, the longest of the page</p></article><div>between</div><article><p>second</p></article><main><p>third</p></main><nav>menu</nav></body>"
+    assert html.extract(page) == "intro\nfirst story, the longest of the page\nbetween\nsecond\nthird"
+    assert html.extract("<main><article>a b c</article><article>d</article></main>tail") == "a b c\nd\ntail"
+
+
+def test_html_template_beside_articles_does_not_depend_on_host_size(spark):
+    words = lambda seed: " ".join(np.random.default_rng(seed).choice(["alpha", "beta", "gamma", "delta", "eps"], 12))
+    box = "<div>" + "Join our club today. " * 9 + "</div>"  # longer than the articles, on 4 of the 4200 pages
+    rows = [(i, "http://big.org/", f"<body>{box if i < 4 else ''}<article><p>{words(i)}</p></article><article><p>{i}</p></article></body>") for i in range(4200)]
+    rows += [(5000 + i, "http://copy.org/", f"<body><div>stays {i}</div>{box}<article><p>{words(1)}</p></article></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"{words(i)}\n{i}" for i in range(4200))
+    assert all(got[5000 + i].startswith(f"stays {i}\nJoin our club") for i in range(5))  # copies of an article count once
+
+
 # ---------------------------------------------------------------- chat
 
 TURNS = "conv_id long, turn long, role string, text string"
