@@ -10,16 +10,21 @@ text's score is the sum over all its bytes under each language's tree.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import with_python
+from riskspark.llm.common import chunked, raw_strings, stage, with_python
 
 ORDER = 3
-#: Expected bytes of labelled text per language from which the trees are counted (documented bound).
+#: Most bytes of labelled text per language from which the trees are counted (documented bound).
 TRAIN_BYTES = 2_000_000
+#: Texts are drawn in pieces of at most this many bytes.
+PIECE_BYTES = 1 << 14
 UNKNOWN = "und"
 _PAD = b"\n" * ORDER
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -156,18 +161,54 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _pieces(key: str, text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(hash of key, place and piece, piece) of every piece of a text."""
+    for at in range(0, len(text), PIECE_BYTES):
+        piece = text[at:at + PIECE_BYTES]
+        yield xxhash.xxh3_64_intdigest(piece, seed=xxhash.xxh3_64_intdigest(f"{at} {key}")) - (1 << 63), piece
+
+
+def draw(labelled: DataFrame, train_bytes: int) -> DataFrame:
+    """(lang, text binary): of every language its pieces in hash order until ``train_bytes`` are reached, the last one
+    cut there, so each language has at least one and none has more bytes. labelled: (key, lang, text)."""
+    labelled = with_python(labelled.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    sizes = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("size", pa.int64())])
+    drawn = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("text", pa.binary())])
+
+    def measure(batches):
+        for b in batches:
+            for key, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_strings(b.column(2))):
+                for h, piece in _pieces(key, text):
+                    yield lang, h, len(piece)
+
+    pieces = stage(labelled.mapInArrow(lambda bs: chunked(measure(bs), sizes, max_rows=1 << 15), "lang string, h long, size long").distinct(), "pieces")
+    # a language's pieces are never sorted as a whole: first ranges of hashes, then the pieces in the ranges needed
+    before = lambda by: F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = pieces.groupBy("lang", F.shiftright("h", 48).alias("range")).agg(F.sum("size").alias("size")).withColumn("before", before("range"))
+    needed = ranges.where(F.col("before") < train_bytes).groupBy("lang").agg(F.max("range").alias("last"))
+    near = pieces.join(F.broadcast(needed), "lang").where(F.shiftright("h", 48) <= F.col("last")).withColumn("before", before("h")).where(F.col("before") < train_bytes)
+    ends = near.groupBy("lang").agg(F.max(F.struct("h", F.least("size", F.lit(train_bytes) - F.col("before")).alias("size"))).alias("end"))
+    last = {r["lang"]: (r["end"]["h"], r["end"]["size"]) for r in ends.collect()}  # a row for each language
+
+    def take(batches):
+        for b in batches:
+            for key, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_strings(b.column(2))):
+                end, size = last[lang]
+                for h, piece in _pieces(key, text):
+                    if h <= end:
+                        yield lang, h, piece if h < end else piece[:size]
+
+    sample = labelled.mapInArrow(lambda bs: chunked(take(bs), drawn, weigh=lambda r: len(r[2])), "lang string, h long, text binary")
+    return sample.dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
 def fit(train: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     """Count the trees. train: (key, lang, text) rows that may be learned from.
 
-    The sample is the rows whose hashed key falls under each language's share of ``train_bytes``
-    expected bytes; their texts are read whole. Rows without lang or text teach nothing.
+    Of every language pieces of its texts are counted, drawn in hash order up to ``train_bytes`` (all of
+    them where they are fewer). Rows without lang or text teach nothing; rows equal in all three teach once.
     """
-    labelled = train.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for each language
-    if not sizes:
-        return Model({})
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, train_bytes / r["bytes"])))])
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("key"), F.lit(5)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    sample = draw(train.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''"), train_bytes)
     grams: dict[str, tuple[list[int], list[int]]] = {}
     for r in count_grams(sample).collect():  # bounded by train_bytes for each language
         keys, n = grams.setdefault(r["lang"], ([], []))

@@ -225,6 +225,21 @@ def test_language_edges_and_no_leak(spark):
     assert langid.identify(spark.createDataFrame([], DOCS + ", lang string")).count() == 0
 
 
+def test_language_sample_is_bounded_and_misses_no_language(spark):
+    rng = np.random.default_rng(4)
+    text = lambda letters, n: "".join(rng.choice(list(letters + " "), n))
+    rows = [(0, "xx", text("abcdef", 200_000))] + [(i, "xx", text("ghijkl", 50)) for i in range(1, 40)]  # one long text
+    rows += [(100 + i, f"l{i}", text("mnop", 60_000)) for i in range(12)]  # languages of a single text
+    rows += [(200 + i, "few", text("qrst", 20)) for i in range(3)] + [(300, "copies", text("uvw", 400))] * 50
+    train = spark.createDataFrame(rows, "key long, lang string, text string")
+    for bound in (1_000, 30_000):
+        size = Counter()
+        for r in langid.draw(train, bound).collect():
+            size[r.lang] += len(r.text)
+        assert size == {"xx": bound, "few": 60, "copies": 400, **{f"l{i}": bound for i in range(12)}}
+    assert langid.fit(train, 1_000).langs == sorted({r[1] for r in rows})
+
+
 # ---------------------------------------------------------------- decontamination
 
 
