@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical navigable small-world graph
 per shard, stored as flat neighbour arrays, searched shard by shard and merged.
 
-Equal vectors are one point with its smallest ids. A shard holds a bounded number of points. Inner
-product is turned into distance by one more coordinate that brings all points of a shard to the same
-length. Each layer holds the points whose hashed level reaches it; inside the shard's bound the
+Equal vectors are one point with its smallest ids. A shard holds a bounded number of points whose norms
+differ by a factor of two at most, brought near 1 by a power of two. Inner product is turned into
+distance by one more coordinate that brings all points of a shard to the same length. Each layer holds the points whose hashed level reaches it; inside the shard's bound the
 candidates of a layer are exact, and a point keeps those that are nearer to it than to one kept
 before, in both directions. A search scans the top layer, then walks each layer down with a beam,
-for a block of queries at a time. Scores of what it finds are exact.
+for a block of queries at a time. All that the last beam holds is scored in double precision.
 """
 
 from __future__ import annotations
@@ -42,8 +42,22 @@ def points_of(vectors: DataFrame, k: int = K) -> DataFrame:
     return ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), F.size("v").alias("dim"), "v", "ids")
 
 
+def norm_band(v):
+    """Rounded binary logarithm of the norm, without overflow: norms of a band differ by a factor of two at most."""
+    top = F.array_max(F.transform(v, F.abs))
+    plain = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    scaled = F.log2(top) + F.log2(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))) / 2
+    return F.floor(F.when(plain.between(1e-200, 1e300), F.log2(plain) / 2).otherwise(scaled) + 0.5).cast("int")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """``x`` times a power of two that brings its largest part near 1: changes no order of inner products."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, initial=0.0, keepdims=True))[1])
+
+
 def _lift(x: np.ndarray) -> np.ndarray:
     """One more coordinate so that all rows are equally long: distance order is inner-product order."""
+    x = _unit(x.reshape(1, -1)).reshape(x.shape)  # one factor for all rows
     size = np.einsum("ij,ij->i", x, x)
     return np.hstack([x, np.sqrt(np.maximum(size.max() - size, 0.0))[:, None]]).astype(np.float32)
 
@@ -121,10 +135,10 @@ def build(vectors: np.ndarray, seed: int, links: int = LINKS) -> dict:
     return {"x": x, "layers": layers}
 
 
-def search(graph: dict, queries: np.ndarray, k: int, beam: int = BEAM) -> np.ndarray:
-    """(queries, <= k) rows of the nearest points found, -1 where there are fewer."""
+def search(graph: dict, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
+    """(queries, <= beam) rows of the nearest points found, -1 where there are fewer."""
     x, layers = graph["x"], graph["layers"]
-    q = np.hstack([queries, np.zeros((len(queries), 1))]).astype(np.float32)
+    q = np.hstack([_unit(queries), np.zeros((len(queries), 1))]).astype(np.float32)
     top = layers[-1][0]
     scores = q @ x[top].T
     width = min(8, len(top))
@@ -139,7 +153,7 @@ def search(graph: dict, queries: np.ndarray, k: int, beam: int = BEAM) -> np.nda
         if depth:
             entry = entry[:, :8]
             entry = np.where(entry >= 0, entry, entry[:, :1])
-    return entry[:, :k]
+    return entry
 
 
 def _walk(x, links, q, start, ef) -> np.ndarray:
@@ -189,12 +203,19 @@ INDEX = "shard int, dim int, n int, points binary, reps binary, ids array<array<
 
 
 def build_index(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """One row per shard and dimension: the points and the layers' flat neighbour arrays."""
-    sizes = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each dimension
+    """One row per shard and dimension: the points and the layers' flat neighbour arrays. Each band of norms has shards
+    of its own."""
+    banded = points.withColumn("band", norm_band(F.col("v")))
+    sizes = banded.groupBy("dim", "band").agg(F.count("*").alias("n")).orderBy("dim", "band").collect()  # at most 2,200 bands for each dimension
     if not sizes:
         return points.sparkSession.createDataFrame([], INDEX)
-    shards = F.create_map(*[x for d, n in sizes.items() for x in (F.lit(d), F.lit(-(-n // shard_points)))])
-    sharded = points.withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(9)), shards[F.col("dim")]).cast("int"))
+    parts, used = [], {}
+    for r in sizes:
+        n = -(-r["n"] // shard_points)
+        parts.append((r["dim"], r["band"], used.get(r["dim"], 0), n))
+        used[r["dim"]] = used.get(r["dim"], 0) + n
+    parts = points.sparkSession.createDataFrame(parts, "dim int, band int, first_shard int, n_shards int")
+    sharded = banded.join(F.broadcast(parts), ["dim", "band"]).withColumn("shard", (F.col("first_shard") + F.pmod(F.xxhash64("rep", F.lit(9)), F.col("n_shards"))).cast("int"))
 
     def one(t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by("rep")
@@ -245,7 +266,7 @@ def nearest(table: DataFrame, is_query, k: int = K, shard_points: int = SHARD_PO
                 qs = r["queries"].as_py()
                 qid = np.array([x["vec_id"] for x in qs], np.int64)
                 qv = np.array([x["v"] for x in qs], np.float64).reshape(-1, dim)
-                got = search({"x": _lift(pts), "layers": layers}, qv, k + 1, beam)
+                got = search({"x": _lift(pts), "layers": layers}, qv, beam)
                 out_q, out_v, out_s = [], [], []
                 for j, row in enumerate(got):
                     row = row[row >= 0]

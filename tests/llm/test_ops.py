@@ -569,6 +569,40 @@ def test_nearest_recall_on_the_table(spark):
     assert np.mean(hits) >= 0.9
 
 
+def vector_hits(x, found, k):
+    """Share of the k largest inner products of every 20th row that were found."""
+    hits = []
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        least = np.sort(s)[-k]
+        hits.append(np.mean(np.sort(found[q])[::-1] >= least - 1e-9 * abs(least)))
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("kind", ["one long", "spread"])
+def test_nearest_recall_with_varying_norms(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(3000) == 7, 1e6, 1.0)[:, None] if kind == "one long" else np.exp(rng.normal(0, 4, 3000))[:, None]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, beam=60).collect():
+        got[r.query_id].append(r.score)
+    assert all(len(v) == 20 for v in got.values()) and len(got) == 150
+    assert vector_hits(x, got, 20) >= 0.9
+
+
+def test_nearest_takes_norms_beyond_single_precision(spark):
+    rows = [(i, [(1.0 + i % 7) * s, 0.5 * s * i]) for i, s in enumerate([1e-200, 1e-60, 1.0, 1e60, 1e150] * 30)]
+    want = slow_nearest(rows, 20)
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    assert set(got) == set(want)
+    assert all([v for _, v in sorted(got[q])] == [v for _, v in want[q]] for q in want)
+
+
 # ---------------------------------------------------------------- registration
 
 
