@@ -11,8 +11,11 @@ from riskspark.llm.common import stage, table
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without an identifiable language (no text, or no letter); ``lang`` becomes the
-    prediction where it was NULL."""
+    prediction where it was NULL. Where no document outside fold 2 has a lang there is nothing to learn
+    from: the same documents are dropped, and a NULL ``lang`` stays NULL."""
     model = langid.fit(docs.where(langid.fold() != 2).select(F.col("doc_id").alias("key"), "lang", "text"))
+    if not model.langs:
+        return langid.with_letter(docs)
     found = langid.predict(docs, model, keep=docs.columns).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

@@ -161,6 +161,17 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def with_letter(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([bool(t) and has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return with_python(docs).mapInArrow(run, docs.schema)
+
+
 def _pieces(key: str, text: bytes) -> Iterator[tuple[int, bytes]]:
     """(hash of key, place and piece, piece) of every piece of a text."""
     for at in range(0, len(text), PIECE_BYTES):

@@ -1,5 +1,6 @@
 """The corpus pipeline against brute force: every stage on its own input, and the whole."""
 
+import zlib
 from collections import Counter
 
 import pytest
@@ -36,6 +37,15 @@ def test_language_stage_keeps_every_document_with_a_letter(outputs):
     assert {r.doc_id for r in after} == {r.doc_id for r in before if any(map(str.isalpha, r.text or ""))}
 
 
+def test_language_stage_without_any_label_drops_only_what_has_no_letter(spark):
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2)  # its lang may not be learned from
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "été", None, "s", 3), (3, "12 - 34", None, "s", 7), (4, None, None, "s", None), (5, "", None, "s", 0),
+                                  (None, "字", None, "s", 1), (held, "held out", "en", "s", 8)], SCHEMA)
+    got = pipe.keep_language(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.text, r.lang) for r in got.collect()} == {(1, "some text", None), (2, "été", None), (None, "字", None), (held, "held out", "en")}
+
+
 def test_near_duplicate_stage_keeps_the_smallest_of_each_component(outputs):
     before, after = map(rows, outputs[1])
     fps = {r.doc_id: slow_fingerprint(r.text) for r in before}
