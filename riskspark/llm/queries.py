@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import ann, chat, decontam, html, langid, packing, simhash, substring, urlgraph, warc
+from riskspark.llm import ann, chat, decontam, html, langid, packing, phrases, simhash, substring, urlgraph, warc
 from riskspark.llm.common import table
 from riskspark.session import scratch_path
 
@@ -66,6 +66,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -73,4 +78,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_url_filter, op4_simhash, op5_language, op6_decontamination, op7_html_text, op8_chat, op9_neighbours, op10_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_url_filter, op4_simhash, op5_language, op6_decontamination, op7_html_text, op8_chat, op9_neighbours, op10_line_dedup, op13_collocations, pipeline)}

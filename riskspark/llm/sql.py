@@ -86,4 +86,20 @@ kept AS (SELECT doc_id, text, coalesce(string_agg(unit, '' ORDER BY place) FILTE
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_text, '') END AS text, coalesce(n, 0) AS n_removed, coalesce(spans, '') AS removed_spans
 FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.text = k.text LEFT JOIN removed r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.text = r.text"""
 
-ORACLES = {"op1_warc": OP1, "op3_url_filter": _url_filter(), "op6_decontamination": OP6, "op8_chat": OP8, "op10_line_dedup": OP10}
+OP13 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+grams AS (SELECT lang, m, w[i:i + m - 1] AS g, count(*) AS f FROM places, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(w) GROUP BY lang, m, w[i:i + m - 1]),
+candidates AS (SELECT lang, m, g, f AS a FROM grams WHERE m >= 2 AND f >= 10),
+cuts AS (SELECT lang, m, g, a, k, g[1:k] AS x, g[k + 1:m] AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+scores AS (SELECT c.lang, c.m, c.g, c.a, k, p.f AS l, q.f AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(p.f AS HUGEINT) * q.f) AS score
+           FROM cuts c JOIN grams p ON c.lang = p.lang AND p.g = c.x JOIN grams q ON c.lang = q.lang AND q.g = c.y),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT lang, g[i:i + 1] AS g, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS i FROM candidates WHERE m = 3) GROUP BY lang, g[i:i + 1]),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN inside i ON l.m = 2 AND l.lang = i.lang AND l.g = i.g WHERE i.longer IS NULL OR 100 * i.longer < 50 * l.a),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+ORACLES = {"op1_warc": OP1, "op3_url_filter": _url_filter(), "op6_decontamination": OP6, "op8_chat": OP8, "op10_line_dedup": OP10, "op13_collocations": OP13}
