@@ -102,4 +102,22 @@ kept AS (SELECT l.* FROM lowest l LEFT JOIN inside i ON l.m = 2 AND l.lang = i.l
 ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 
-ORACLES = {"op1_warc": OP1, "op3_url_filter": _url_filter(), "op6_decontamination": OP6, "op8_chat": OP8, "op10_line_dedup": OP10, "op13_collocations": OP13}
+OP12 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+crc(c, h) AS (SELECT conv_id, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+        lambda a, x: list_reduce([xor(a, x), 1, 2, 3, 4, 5, 6, 7, 8], lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) FROM own),
+built AS (SELECT o.conv_id, list_concat(coalesce(b.turns[1:xor(h, 4294967295) % 4], []), o.turns[(xor(h, 4294967295) % 4) + 1:]) AS turns
+          FROM own o JOIN crc ON o.conv_id = crc.c LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+prefixes AS (SELECT conv_id, d, turns[1:d] AS p, len(turns) = d AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+                 (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM prefixes GROUP BY p, d),
+born AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN born b ON n.p = b.p AND n.d = b.d),
+sums AS (SELECT p[1:k] AS p, k AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+         FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM full_nodes) GROUP BY p[1:k], k)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s ON n.p = s.p AND n.d = s.d LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]"""
+
+ORACLES = {"op1_warc": OP1, "op3_url_filter": _url_filter(), "op6_decontamination": OP6, "op8_chat": OP8, "op10_line_dedup": OP10, "op12_prefix_trie": OP12, "op13_collocations": OP13}
