@@ -67,6 +67,13 @@ RANDOM_STATE = 42
 TEST_SIZE = 0.2
 VAL_SIZE = 0.25
 
+# ---- fixed values: grid searches ---------------------------------------------
+
+LR_GRID_C = [0.01, 0.1, 1.0, 10.0]
+GBT_GRID = {"maxIter": [100, 200], "maxDepth": [5, 6, 7], "stepSize": [0.05, 0.1],
+            "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"]}
+GRID_FOLDS = 3
+
 # ---- fixed values: evaluation -----------------------------------------------
 
 DECISION_THRESHOLD = 0.5

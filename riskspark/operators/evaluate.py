@@ -137,11 +137,18 @@ def model_comparison(scored: DataFrame, model_order: Sequence[str] | None = None
     return out
 
 
+def _first_by_auc(order_col: str):
+    auc = F.nanvl(F.col("test_auc"), F.lit(None).cast("double"))
+    known = F.when(auc.isNotNull(), F.col("model_name"))
+    return F.min_by(known, F.struct(auc.isNull(), -auc, F.col(order_col)))
+
+
 def best_model(comparison: DataFrame, order_col: str = "model_rank") -> DataFrame:
     """The best model (a later model wins only with a strictly greater test AUC)
-    and the best AUC / Gini / KS taken independently. Takes unrounded metrics, rounds last."""
+    and the best AUC / Gini / KS taken independently. Takes unrounded metrics, rounds last.
+    A model without an AUC (NULL or NaN) never wins; NULL if no model has one."""
     return comparison.agg(
-        F.min_by(F.col("model_name"), F.struct(-F.col("test_auc"), F.col(order_col))).alias("best_model"),
+        _first_by_auc(order_col).alias("best_model"),
         r6(F.max("test_auc")).alias("best_auc"), r6(F.max("test_gini")).alias("best_gini"),
         r6(F.max("test_ks")).alias("best_ks"))
 
@@ -152,7 +159,7 @@ def leaderboard(comparison: DataFrame, order_col: str = "model_rank") -> DataFra
     The comparison table has one row per model, so a window over it is free.
     """
     w = Window.partitionBy()
-    best = F.min_by(F.col("model_name"), F.struct(-F.col("test_auc"), F.col(order_col))).over(w)
+    best = _first_by_auc(order_col).over(w)
     return comparison.select(
         "model_name", *[r6(F.col(c)).alias(c) for c in ("test_auc", "test_gini", "test_ks", "test_f1")],
-        (F.col("model_name") == best).cast("int").alias("is_best"))
+        F.coalesce((F.col("model_name") == best).cast("int"), F.lit(0)).alias("is_best"))

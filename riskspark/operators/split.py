@@ -30,8 +30,13 @@ from riskspark.session import reusable, shared_dir
 MAX_CLASSES = 1000
 
 
-def split_hash(key: Column, seed: int = K.RANDOM_STATE) -> Column:
-    return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
+def split_hash(key: Column, seed: int = K.RANDOM_STATE, content: list[str] | None = None) -> Column:
+    """Hash of (key, seed). A NULL key is replaced by a hash of the columns in ``content``, so rows without
+    one are kept and spread like the others."""
+    text = key.cast("string")
+    if content:
+        text = F.coalesce(text, F.concat(F.lit("no key "), F.xxhash64(*[col(c) for c in content]).cast("string")))
+    return F.md5(F.concat(text, F.lit(f"|{seed}")))
 
 
 def _largest_remainder(counts: dict, total_draw: int) -> dict:
@@ -61,7 +66,7 @@ def split_sizes(counts: dict, test_size: float = K.TEST_SIZE, val_size: float =
 def stratified_split(df: DataFrame, key: str = K.KEY, label: str = K.TARGET, seed: int = K.RANDOM_STATE,
                      test_size: float = K.TEST_SIZE, val_size: float = K.VAL_SIZE,
                      prefix_len: int = 4, materialize: bool | None = None) -> DataFrame:
-    """M1: ``df`` plus a ``split`` column in {train, val, test}.
+    """M1: ``df`` plus a ``split`` column in {train, val, test}. Every row is in one split, rows with a NULL key too.
 
     Input passes: one for the bucket counts (checkpointed: a bounded table of
     at most 16^prefix_len rows per class; a longer prefix gives smaller buckets
@@ -71,7 +76,7 @@ def stratified_split(df: DataFrame, key: str = K.KEY, label: str = K.TARGET, see
     """
     src = reusable(df, "split-input", materialize)
     shared_dir(src.sparkSession)
-    h = split_hash(col(key), seed)
+    h = split_hash(col(key), seed, df.columns)
     hashed = src.select("*", h.alias("_h"), F.substring(h, 1, prefix_len).alias("_b"))
     buckets = (hashed.groupBy(col(label).alias("_lab"), F.col("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
                .checkpoint(eager=True))
@@ -125,7 +130,7 @@ def stratified_folds(df: DataFrame, folds: int = 3, key: str = K.KEY, label: str
     """
     src = reusable(df, "fold-input", materialize)
     shared_dir(src.sparkSession)
-    h = split_hash(col(key), seed)
+    h = split_hash(col(key), seed, df.columns)
     hashed = src.select("*", h.alias("_h"), F.substring(h, 1, prefix_len).alias("_b"))
     buckets = (hashed.groupBy(col(label).alias("_lab"), F.col("_b").alias("_ob")).agg(F.count(F.lit(1)).alias("_cnt"))
                .checkpoint(eager=True))
