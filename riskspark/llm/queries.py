@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import ann, chat, decontam, html, langid, packing, phrases, simhash, substring, trie, urlgraph, warc
+from riskspark.llm import ann, chat, decontam, html, langid, lm, packing, phrases, simhash, substring, trie, urlgraph, warc
 from riskspark.llm.common import table
 from riskspark.session import scratch_path
 
@@ -66,6 +66,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole document under the attention model, beside the word base."""
+    return lm.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of all conversations, rebuilt in families of 20 ids."""
     return trie.prefix_trie(trie.graft(trie.conversations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))))
@@ -83,4 +88,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_url_filter, op4_simhash, op5_language, op6_decontamination, op7_html_text, op8_chat, op9_neighbours, op10_line_dedup, op12_prefix_trie, op13_collocations, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_url_filter, op4_simhash, op5_language, op6_decontamination, op7_html_text, op8_chat, op9_neighbours, op10_line_dedup, op11_lm_score, op12_prefix_trie, op13_collocations, pipeline)}
