@@ -8,7 +8,9 @@ whole extent; float outputs are rounded to 6 places, lists are rendered with
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +20,16 @@ from riskspark.functions import constants as K
 from riskspark.functions import scorecard as SC
 from riskspark.functions.columns import col, r6
 from riskspark.operators import attribute as A
+from riskspark.operators import boost as B
 from riskspark.operators import clean as C
 from riskspark.operators import decide as D
 from riskspark.operators import encode as E
 from riskspark.operators import evaluate as EV
 from riskspark.operators import features as FE
+from riskspark.operators import newton as N
 from riskspark.operators import profile as P
 from riskspark.operators import split as S
+from riskspark.operators import train as TR
 from riskspark.plans import pipeline as PL
 from riskspark.session import scratch_path
 from riskspark.sources import loans as L
@@ -111,15 +116,23 @@ def valid_applications(spark, sf) -> DataFrame:
         "errors", "is_valid", "high_dti_warning")
 
 
-def scaler(spark, sf) -> E.ScalerParams:
-    fitted, _ = fitted_pipeline(spark, sf)
-    return fitted.scaler
+def stored_pipeline(spark, sf) -> PL.FittedPipeline:
+    """The published feature pipeline of the loans; fitted and published only where there is none."""
+    from riskspark.plans import artifacts
+
+    return artifacts.stored_pipeline(spark, loans(spark, sf))
 
 
 def served(spark, sf):
-    """(applications, stored scaler): the applications read from the copy the fit already wrote."""
-    fitted, _ = fitted_pipeline(spark, sf)
-    return L.applications(fitted.source), fitted.scaler
+    """(applications, stored scaler): serving loads the parameters, it fits nothing."""
+    return applications(spark, sf), stored_pipeline(spark, sf).scaler
+
+
+def stored_engineered(spark, sf) -> DataFrame:
+    """The engineered table by the stored parameters: narrow over the loans, no fit."""
+    p = stored_pipeline(spark, sf)
+    clean = C.finalize(C.apply_winsor(C.apply_missing(loans(spark, sf), p.missing), p.winsor))
+    return PL.transform_clean(clean, p, scale=True)
 
 
 def _valid(apps: DataFrame) -> DataFrame:
@@ -433,7 +446,9 @@ def q_score_numeric_only(spark, sf):
 # ---- A: attribution --------------------------------------------------------------------
 
 def _linear_parts(spark, sf):
-    df = engineered(spark, sf, scale=True)
+    from riskspark.session import materialize
+
+    df = materialize(stored_engineered(spark, sf), "explained")  # read for the means, then for the rows
     means = A.feature_means(df, list(SC.COEFFICIENTS))
     return df, means
 
@@ -453,7 +468,6 @@ def q_feature_importance(spark, sf):
 
 GBT_ROUNDS = 200       # early stopping keeps the first trees
 GRADIENT_TOLERANCE = 1e-3  # of the fit's stopping rule: relative change of the objective below 1e-6
-LR_TUNE_ITER = 1000      # the fit stops by its tolerance
 
 
 def _model_split(spark, sf):
@@ -464,14 +478,14 @@ def _model_split(spark, sf):
     return S.stratified_split(eng), feats
 
 
-def _fit_or_load(spark, sf, kind, params, fit, split=None):
+def _load_or_fit(spark, sf, kind, model_type, params, fit, split=None):
     """(model, split): the store is looked up first; ``split()`` gives (split table, features) and runs
-    the feature pipeline only when it is called, at most once. The features follow from the inputs and
-    the code, which the store's key covers."""
-    from riskspark.plans.models import fit_or_load
+    the feature pipeline only when it is called, at most once."""
+    from riskspark.plans import artifacts
 
     split = split or functools.cache(lambda: _model_split(spark, sf))
-    return fit_or_load(spark, loans(spark, sf), kind, params, [], lambda: fit(*split())), split
+    payload = artifacts.load_or_fit(spark, loans(spark, sf), kind, params, lambda: asdict(fit(*split())))
+    return model_type.from_json(json.dumps(payload)), split
 
 
 def _part(sp, name):
@@ -480,11 +494,9 @@ def _part(sp, name):
 
 def _lr(spark, sf, split=None):
     """The balanced L2 logistic regression on the training split: fitted once, then loaded
-    from the model store (as the explain and scoring phases load the saved model)."""
-    from riskspark.operators import train as T
-
-    return _fit_or_load(spark, sf, "lr", {"C": 1.0, "max_iter": 1000, "balanced": True},
-                        lambda sp, feats: T.train_logistic(_part(sp, "train"), feats), split)
+    from the store (as the explain and scoring phases load the saved model)."""
+    return _load_or_fit(spark, sf, "lr", N.LinearModel, {"C": 1.0, "balanced": True},
+                        lambda sp, feats: N.fit_logistic(_part(sp, "train"), feats), split)
 
 
 def q_train_lr(spark, sf):
@@ -497,26 +509,58 @@ def q_train_lr(spark, sf):
 
 def q_tune_lr(spark, sf):
     """M6: 3-fold cross-validated AUC per C."""
-    from riskspark.operators import train as T
+    sp, feats = _model_split(spark, sf)
+    return N.tune_logistic(_part(sp, "train"), feats)[0]
+
+
+def q_tune_lr_optimum(spark, sf):
+    """M6 checked: for every C and fold, the rows it was fitted on and whether the gradient of its objective is 0 in
+    every term."""
+    from riskspark.operators.split import stratified_folds
+    from riskspark.session import materialize
 
     sp, feats = _model_split(spark, sf)
-    return T.tune_logistic(sp.filter(F.col("split") == "train"), feats, max_iter=LR_TUNE_ITER)
+    train = materialize(_part(sp, "train"), "tuned-rows")
+    _, fits = N.tune_logistic(train, feats)
+    folds = materialize(stratified_folds(train), "tuned-folds")
+    out = None
+    for f in range(K.GRID_FOLDS):
+        part = folds.where(F.col("fold") != f)
+        counts = {r["Default"]: r["n"] for r in part.groupBy("Default").agg(F.count("*").alias("n")).collect()}
+        n, aggs = sum(counts.values()), []
+        for c in K.LR_GRID_C:
+            m = fits[c, f]
+            s = F.when(F.col("Default") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
+            e = s * (N.probability(m) - F.col("Default"))
+            terms = [F.abs(F.sum(e * col(x)) + F.lit(w / c)) for x, w in zip(feats, m.weights)] + [F.abs(F.sum(e))]
+            aggs.append(F.struct(F.lit(float(c)).alias("C"), F.lit(f).alias("fold"), F.count("*").alias("n_train"),
+                                 (F.greatest(*terms) / F.lit(float(n)) < 1e-7).cast("int").alias("at_optimum")))
+        one = part.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _gbt(spark, sf, split=None):
-    """The early-stopped boosted trees: fitted once, then loaded from the model store."""
-    from riskspark.operators import train as T
-
-    return _fit_or_load(spark, sf, "gbt", {"max_iter": GBT_ROUNDS, "early_stopping": 20},
-                        lambda sp, feats: T.train_gbt(_part(sp, "train"), _part(sp, "val"), feats, max_iter=GBT_ROUNDS), split)
+    """The early-stopped boosted trees: fitted once, then loaded from the store."""
+    return _load_or_fit(spark, sf, "gbt", B.BoostedModel, {"rounds": GBT_ROUNDS, "early_stopping": 20},
+                        lambda sp, feats: B.fit_boosted(_part(sp, "train"), _part(sp, "val"), feats, rounds=GBT_ROUNDS), split)
 
 
 def q_train_gbt(spark, sf):
     """M7: feature importances of the early-stopped boosted trees."""
-    from riskspark.operators import train as T
-
     tm, _ = _gbt(spark, sf)
-    return T.feature_importance_table(tm)
+    return B.importance_table(tm, spark)
+
+
+def q_gbt_root_split(spark, sf):
+    """M7 checked by value: every feature's best split at the first tree's root over the training split, with the sums and
+    leaf weights of both sides."""
+    from riskspark.session import materialize
+
+    sp, feats = _model_split(spark, sf)
+    out = B.root_splits(materialize(_part(sp, "train"), "root-rows"), feats, bins=16)
+    return out.select("feature", r6(F.col("threshold")).alias("threshold"), F.round("gain", 3).alias("gain"), "n_left", "n_right",
+                      *[F.round(c, 4).alias(c) for c in ("g_left", "h_left", "left_value", "right_value")])
 
 
 def q_training_runs(spark, sf):
@@ -596,22 +640,18 @@ def q_tree_attribution(spark, sf):
     """A1: per-row log-odds contributions of the boosted trees over the whole table."""
     tm, split = _gbt(spark, sf)
     sp, feats = split()
-    weights, trees = A.gbt_node_table(tm.model.stages[-1], spark, feats)
-    return A.tree_attribution(sp, feats, weights, trees)
+    return A.tree_attribution(sp, feats, *B.node_table(tm), margin_scale=1.0)
 
 
 def q_tree_attribution_additive(spark, sf):
     """A1 checked for every row: base value plus contributions is the model's own log-odds."""
-    from pyspark.ml.functions import vector_to_array
-
     tm, split = _gbt(spark, sf)
     sp, feats = split()
-    weights, trees = A.gbt_node_table(tm.model.stages[-1], spark, feats)
-    attr = A.tree_attribution(sp, feats, weights, trees)
+    attr = A.tree_attribution(sp, feats, *B.node_table(tm), margin_scale=1.0)
     total = F.col("base_value")
     for f in feats:
         total = total + col(f"shap_{f}")
-    own = tm.model.transform(sp).select("id", (vector_to_array("rawPrediction")[1] * 2).alias("log_odds"))
+    own = sp.select("id", B.margin(tm).alias("log_odds"))
     return attr.select("id", total.alias("total")).join(own, "id").select(
         "id", (F.abs(F.col("total") - F.col("log_odds")) < 1e-6).cast("int").alias("additive"))
 
@@ -637,8 +677,53 @@ def q_tree_importance(spark, sf):
     """A3/A4 for the boosted trees: mean |contribution| per feature, ranked."""
     tm, split = _gbt(spark, sf)
     sp, feats = split()
-    weights, trees = A.gbt_node_table(tm.model.stages[-1], spark, feats)
-    return A.rank_importance(A.tree_importance(A.tree_attribution(sp, feats, weights, trees), feats))
+    attr = A.tree_attribution(sp, feats, *B.node_table(tm), margin_scale=1.0)
+    return A.rank_importance(A.tree_importance(attr, feats))
+
+
+# ---- D with fitted models --------------------------------------------------------------------
+
+
+def _best_trained(spark, sf):
+    """The fitted model with the greater test AUC (a tie goes to the logistic regression): its name is published once."""
+    from riskspark.plans import artifacts
+
+    lr, split = _lr(spark, sf)
+    gbt, _ = _gbt(spark, sf, split)
+    by_name = {m.name: m for m in (lr, gbt)}
+
+    def choose():
+        sp, _ = split()
+        held_out = sp.filter(F.col("split") == "test")
+        parts = [held_out.select(F.lit(m.name).alias("model"), "split", F.col("Default").alias("label"), TR.probability_of(m).alias("p")) for m in (lr, gbt)]
+        auc = {r["model"]: r["auc"] for r in EV.ranking_metrics(EV.cumulative_table(parts[0].unionByName(parts[1]))).collect()}
+        best = gbt if auc[gbt.name] is not None and (auc[lr.name] is None or auc[gbt.name] > auc[lr.name]) else lr
+        return {"best_model": best.name, "test_auc": auc}
+
+    return by_name[artifacts.load_or_fit(spark, loans(spark, sf), "best", {"rounds": GBT_ROUNDS}, choose)["best_model"]]
+
+
+def q_decisions_trained(spark, sf):
+    """Decisions of the best fitted model with the stored scaler; no fit and no Python once they are published."""
+    apps, sc = served(spark, sf)
+    d = D.decide(apps, sc, TR.probability_of(_best_trained(spark, sf)), with_timestamp=False)
+    return d.withColumn("risk_factors", F.concat_ws("|", "risk_factors"))
+
+
+def q_decisions_trained_checked(spark, sf):
+    """D7, D8 checked for every application under both fitted models: a probability, its band and its recommendation agree."""
+    apps, sc = served(spark, sf)
+    lr, split = _lr(spark, sf)
+    gbt, _ = _gbt(spark, sf, split)
+    out = None
+    for m in (lr, gbt):
+        s = D.score_model(_valid(apps), sc, TR.probability_of(m))
+        band, _, rec = D.risk_band(F.col("pd"))
+        at = F.when(F.col("pd") < 0.10, "Low Risk").when(F.col("pd") < 0.25, "Medium Risk").otherwise("High Risk")
+        one = s.select("application_id", F.lit(m.name).alias("model"), ((F.col("pd") > 0) & (F.col("pd") < 1)).cast("int").alias("is_probability"),
+                       (band == at).cast("int").alias("band_agrees"), rec.isNotNull().cast("int").alias("decided"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---- D14: streaming -------------------------------------------------------------------------

@@ -23,7 +23,6 @@ import hashlib
 import json
 import pathlib
 from collections.abc import Callable, Sequence
-from urllib.parse import unquote
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -50,13 +49,25 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(sc._jsc.hadoopConfiguration()), jpath
 
 
+def root_paths(df: DataFrame) -> list[str]:
+    """Root folders (or files) of the file tables that the plan scans: a few names, however many files they hold."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName().startswith("LogicalRelation") and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out.update(roots.apply(k).toString() for k in range(roots.size()))
+    return sorted(out)
+
+
 def input_signature(spark: SparkSession, df: DataFrame) -> list:
     """[files, digest over (file, length, modification time)] of every file the plan scans: listed and
-    added up by Spark, the contents aren't read and no file costs a call from the driver's Python."""
-    files = [unquote(f) for f in df.inputFiles()]
-    if not files:
+    added up by Spark below the tables' root folders, the contents aren't read."""
+    roots = root_paths(df)
+    if not roots:
         return [0, 0]
-    listed = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "length", "modificationTime")
     digest = F.xxhash64("path", "length", F.unix_micros("modificationTime")).cast("decimal(38,0)")
     return [str(v) for v in listed.agg(F.count(F.lit(1)), F.sum(digest)).first()]
 

@@ -659,6 +659,28 @@ def _sql() -> dict[str, str]:
         f"SELECT {s(m)} AS model, split, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(\"Default\") AS BIGINT) AS n_positive, "
         "CAST(1 AS INTEGER) AS gini_agrees, CAST(1 AS INTEGER) AS better_than_chance FROM split WHERE split <> 'train' GROUP BY split"
         for m in (MODEL_A, MODEL_B)])
+    o["tune_lr_optimum"] = "WITH " + ",\n".join([*chain, fold]) + (
+        "\nSELECT CAST(c AS DOUBLE) AS C, CAST(f AS INTEGER) AS fold, (SELECT COUNT(*) FROM folds WHERE fold <> f) AS n_train, "
+        f"CAST(1 AS INTEGER) AS at_optimum FROM (SELECT UNNEST({K.LR_GRID_C}) AS c) a, (SELECT UNNEST([0, 1, 2]) AS f) b")
+    both = _unpivot([f"SELECT application_id, {s(m)} AS model FROM valid" for m in (MODEL_A, MODEL_B)])
+    o["decisions_trained_checked"] = W("SELECT application_id, model, CAST(1 AS INTEGER) AS is_probability, CAST(1 AS INTEGER) AS band_agrees, "
+                                       f"CAST(1 AS INTEGER) AS decided FROM ({both}) t")
+    long = _unpivot([f"SELECT {s(f)} AS feature, CAST({q(f)} AS DOUBLE) AS x, \"Default\" AS y FROM part" for f in feats])
+    o["gbt_root_split"] = "WITH " + ",\n".join([
+        *chain, "part AS (SELECT s.* FROM scaled s JOIN split p ON s.id = p.id WHERE p.split = 'train')", f"long AS ({long})",
+        "ends AS (SELECT feature, MIN(x) AS lo, MAX(x) AS hi, COUNT(DISTINCT x) AS kinds FROM long GROUP BY feature)",
+        f"cuts AS (SELECT feature, UNNEST(quantile_cont(x, {[i / 16 for i in range(1, 16)]})) AS e FROM long GROUP BY feature)",
+        "edges AS (SELECT feature, lo AS e FROM ends WHERE lo < hi UNION SELECT c.feature, c.e FROM cuts c JOIN ends n ON c.feature = n.feature WHERE c.e < hi AND kinds > 2)",
+        "whole AS (SELECT COUNT(*) FILTER (WHERE \"Default\" = 0) AS neg, COUNT(*) FILTER (WHERE \"Default\" = 1) AS pos FROM part)",
+        "sides AS (SELECT l.feature, e, COUNT(*) FILTER (WHERE x <= e AND y = 0) AS n0, COUNT(*) FILTER (WHERE x <= e AND y = 1) AS n1 "
+        "FROM long l JOIN edges d ON l.feature = d.feature GROUP BY l.feature, e)",
+        # at margin 0 a negative row has g = 0.5 and h = 0.25, a positive one -0.5 and 0.25 times the class weight
+        "sums AS (SELECT feature, e, n0 + n1 AS n_left, neg + pos - n0 - n1 AS n_right, 0.5E0 * n0 - 0.5E0 * neg / pos * n1 AS gl, 0.25E0 * n0 + 0.25E0 * neg / pos * n1 AS hl, "
+        "0.5E0 * (neg - n0) - 0.5E0 * neg / pos * (pos - n1) AS gr, 0.25E0 * (neg - n0) + 0.25E0 * neg / pos * (pos - n1) AS hr FROM sides, whole)",
+        "gains AS (SELECT *, ROUND(gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1), 6) AS gain FROM sums WHERE hl >= 1 AND hr >= 1)",
+        "best AS (SELECT * FROM gains WHERE gain > 1E-6 QUALIFY ROW_NUMBER() OVER (PARTITION BY feature ORDER BY gain DESC, e) = 1)"]) + (
+        f"\nSELECT feature, {R6('e')} AS threshold, ROUND(gain, 3) AS gain, n_left, n_right, ROUND(gl, 4) + 0.0E0 AS g_left, ROUND(hl, 4) AS h_left, "
+        "ROUND(-gl / (hl + 1), 4) + 0.0E0 AS left_value, ROUND(-gr / (hr + 1), 4) + 0.0E0 AS right_value FROM best")
     o["tree_attribution_additive"] = "WITH " + ",\n".join(chain) + "\nSELECT id, CAST(1 AS INTEGER) AS additive FROM split"
     return o
 
