@@ -27,10 +27,10 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                   accuracy: int | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of many columns, or with ``accuracy`` a bounded-size sketch.
 
-    One plan at every size: counts per (column, value), then ranks
-    (``ranks.exact_quantiles_by_rank``). No task holds a map of all values of a column.
+    One plan at every size: a sketch brackets each quantile, a scan counts, the few values inside are ranked
+    (``quantiles.exact_quantiles``). No task holds a map of all values of a column, and the data is not shuffled.
     """
-    from riskspark.functions.ranks import exact_quantiles_by_rank
+    from riskspark.functions.quantiles import exact_quantiles
 
     cols = list(columns)
     if not cols:
@@ -39,7 +39,7 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         row = df.agg(*[sketch_expr(col(c), probs, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(cols)}
-    return exact_quantiles_by_rank(df, cols, probs)
+    return exact_quantiles(df, cols, probs)
 
 
 def adjusted_skewness(g1: Column, n: Column) -> Column:
