@@ -15,37 +15,51 @@ from pyspark.sql import functions as F
 from riskspark.functions import constants as K
 from riskspark.functions.columns import col, is_text, numeric_columns, r6, safe_div, text_columns, type_class
 from riskspark.functions.stats import adjusted_kurtosis, adjusted_skewness, fit_quantiles
-from riskspark.session import reusable
+from riskspark.session import materialize, reusable
 
 
 def _fingerprint(df: DataFrame) -> list:
-    """128-bit row fingerprint plus a null mask (hash functions skip NULLs, the mask tells them apart)."""
+    """128-bit row fingerprint plus null masks, a bit a column (hash functions skip NULLs, the masks tell them apart)."""
     cols = [col(c) for c in df.columns]
-    mask = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols]) if cols else F.lit("")
-    return [F.xxhash64(*cols).alias("_h1"), F.xxhash64(*reversed(cols), F.lit(0x5EED)).alias("_h2"),
-            mask.alias("_nm")]
+    masks = []
+    for at in range(0, max(len(cols), 1), 62):
+        mask = F.lit(0).cast("long")
+        for i, c in enumerate(cols[at:at + 62]):
+            mask = mask + F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        masks.append(mask.alias(f"_m{at}"))
+    return [F.xxhash64(*cols).alias("_h1"), F.xxhash64(*reversed(cols), F.lit(0x5EED)).alias("_h2"), *masks]
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (NULL equals NULL), exact, without shuffling whole rows.
 
-    1. shuffle only fingerprints: ``groupBy(h1, h2, null mask).count()`` (map-side
+    1. shuffle only fingerprints: ``groupBy(h1, h2, null masks).count()`` (map-side
        combined, so a row repeated a third of the table is one record per task);
-    2. rows whose fingerprint occurs more than once are the only candidates:
-       a left-semi join (AQE broadcasts the candidate set when it is small);
+       the few that occur more than once are written to the shared folder with the
+       number of rows that all others stand for;
+    2. rows with such a fingerprint are the only candidates: a left-semi join (AQE
+       broadcasts the candidate set when it is small); none: no second pass;
     3. the candidates are grouped by their full content -- so a fingerprint
        collision can never merge two different rows -- and counted exactly.
+
+    A derived input is written once, both passes read that copy.
     """
-    fp = df.select("*", *_fingerprint(df))
-    keys = ["_h1", "_h2", "_nm"]
+    src = reusable(df, "duplicates-input")
+    marks = _fingerprint(src)
+    fp = src.select("*", *marks)
+    keys = [c for c in fp.columns if c not in src.columns]
     per_fp = fp.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    totals = per_fp.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()["rows"]
-    repeated = per_fp.filter(F.col("_n") > 1).select(*keys)
-    candidates = fp.join(repeated, keys, "left_semi").drop(*keys)
-    dup = candidates.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")).agg(
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d")).first()["d"]
+    # single fingerprints merge into one row, so the written table holds the repeated ones only
+    once = F.col("_n") == 1
+    table = materialize(per_fp.groupBy(*[F.when(~once, F.col(k)).alias(k) for k in keys], once.alias("_once")).agg(F.sum("_n").alias("_n")), "fingerprints")
+    rows, repeated = table.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(~F.col("_once"))).first()
+    dup = 0
+    if repeated:
+        candidates = fp.join(table.where("NOT _once").select(*keys), keys, "left_semi").drop(*keys)
+        dup = candidates.groupBy(*[col(c) for c in src.columns]).agg(F.count(F.lit(1)).alias("_n")).agg(
+            F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d")).first()["d"]
     spark = df.sparkSession
-    return spark.createDataFrame([(int(dup), int(totals) - int(dup))], "duplicate_rows bigint, distinct_rows bigint")
+    return spark.createDataFrame([(int(dup), int(rows) - int(dup))], "duplicate_rows bigint, distinct_rows bigint")
 
 
 def _grouped_profile(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -55,6 +69,7 @@ def _grouped_profile(df: DataFrame, target: str | None = None) -> DataFrame:
     the scan; duplicates come from ``duplicate_count`` (fingerprints only).
     Both results are single rows of scalars, assembled into one row.
     """
+    df = reusable(df, "profile-input")  # read for the counts and for the duplicates
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(col(c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)]
     with_target = target is not None and target in df.columns
     if with_target:
@@ -305,3 +320,11 @@ def dataset_metadata(df: DataFrame, target: str = K.TARGET) -> DataFrame:
         F.col("_pos").alias("n_default"), r6(F.col("_rate")).alias("default_rate"),
         F.lit(target).alias("target_column"),
     )
+
+
+def column_metadata(df: DataFrame) -> DataFrame:
+    """S6, per column: position, name, type and the missing values (counts of one aggregate)."""
+    wide = _base_counts(df)
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("dtype"),
+                              F.col(f"_nn{i}").alias("non_null"), (F.col("_rows") - F.col(f"_nn{i}")).alias("missing")) for i, f in enumerate(df.schema.fields)])
+    return wide.select(F.inline(rows))

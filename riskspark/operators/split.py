@@ -151,6 +151,11 @@ def split_summary(split_df: DataFrame, label: str = K.TARGET) -> DataFrame:
                       r6(F.col("rate")).alias("default_rate"))
 
 
+def split_record(split_df: DataFrame, label: str = K.TARGET, seed: int = K.RANDOM_STATE) -> DataFrame:
+    """S6 for the split: per part its size and default rate, with the seed and the shares that define it."""
+    return split_summary(split_df, label).select("split", "n", "default_rate", F.lit(seed).alias("seed"), F.lit(K.TEST_SIZE).alias("test_size"), F.lit(K.VAL_SIZE).alias("val_size"))
+
+
 def class_weights(train_df: DataFrame, label: str = K.TARGET) -> DataFrame:
     """M3: balanced class weights w_c = n / (2 n_c) (two classes)."""
     per = train_df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_class"))

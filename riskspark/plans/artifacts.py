@@ -41,7 +41,7 @@ def _rename(spark: SparkSession, source: str, target: str) -> None:
 def publish(spark: SparkSession, folder: str, payload: dict) -> str:
     """Write ``payload`` as a new version and make it the current one; returns the version's name."""
     version = uuid.uuid4().hex
-    M._write_text(spark, f"{folder}/{version}.json", json.dumps(payload, sort_keys=True))
+    M._write_text(spark, f"{folder}/{version}.json", json.dumps(payload))  # the order of keys is kept: one-hot levels have one
     M._write_text(spark, f"{folder}/_{version}", version)
     _rename(spark, f"{folder}/_{version}", f"{folder}/{CURRENT}")
     return version

@@ -128,6 +128,10 @@ def served(spark, sf):
     return applications(spark, sf), stored_pipeline(spark, sf).scaler
 
 
+def scaler(spark, sf) -> E.ScalerParams:
+    return stored_pipeline(spark, sf).scaler
+
+
 def stored_engineered(spark, sf) -> DataFrame:
     """The engineered table by the stored parameters: narrow over the loans, no fit."""
     p = stored_pipeline(spark, sf)
@@ -464,6 +468,63 @@ def q_feature_importance(spark, sf):
     return A.rank_importance(A.linear_importance(df, SC.COEFFICIENTS, means))
 
 
+# ---- S: quarantine, partitions, metadata -----------------------------------------------------
+
+
+def q_scan_loans_counts(spark, sf):
+    """S1 with a quarantine: the loans as CSV, with every 50th id's amount spoilt, every 70th id's row cut short and
+    every 90th id's date unreadable; the counts of the scan."""
+    from riskspark.sources import quarantine
+
+    df = loans(spark, sf)
+    path = scratch_path(spark, "loans-broken")
+    date = F.when(F.col("id") % 90 == 0, F.lit("some day")).otherwise(F.col("issue_d"))
+    amount = F.when(F.col("id") % 50 == 0, F.lit("12x")).otherwise(F.col("loan_amnt").cast("string"))
+    df.where("id % 70 <> 0").withColumns({"issue_d": date, "loan_amnt": amount}).write.option("header", True).csv(f"{path}/whole")
+    df.where("id % 70 = 0").select("id", "issue_d", "revenue").write.option("header", True).csv(f"{path}/short")
+    return quarantine.scan_csv(spark, f"{path}/*").counts()
+
+
+def q_engineered_by_year(spark, sf):
+    """The engineered table partitioned by year of issue; the last year is written again alone; two years read back."""
+    from riskspark.operators.features import parse_date
+    from riskspark.sources import sinks
+
+    p = stored_pipeline(spark, sf)
+    clean = C.finalize(C.apply_winsor(C.apply_missing(loans(spark, sf), p.missing), p.winsor))
+    year = F.year(parse_date(F.col("issue_d"))).alias("loan_year")
+    table = PL.transform_clean(clean, p).join(clean.select("id", year), "id")
+    path = scratch_path(spark, "engineered-by-year")
+    sinks.write_partitions(table, path, "loan_year")
+    last = spark.read.parquet(path).agg(F.max("loan_year")).first()[0]
+    sinks.write_partitions(table.where(F.col("loan_year") == last), path, "loan_year")
+    back = spark.read.parquet(path).where(F.col("loan_year") >= last - 1)
+    return back.select("id", "Default", "loan_year", r6(F.col("loan_amnt")).alias("loan_amnt"))
+
+
+def q_column_metadata(spark, sf):
+    """Names, types and missing values of the loan table's columns."""
+    return P.column_metadata(loans(spark, sf))
+
+
+def q_split_record(spark, sf):
+    """The split's sizes and rates with the seed and shares that define it."""
+    return S.split_record(split_loans(spark, sf))
+
+
+def q_profile_incremental(spark, sf):
+    """Q8-Q12 of a table that grows: profiled with three quarters of its files, then again after the rest arrived."""
+    from riskspark.operators import incremental as I
+
+    path, store = scratch_path(spark, "growing"), scratch_path(spark, "file-profiles")
+    df = loans(spark, sf)
+    df.where("id % 4 <> 0").repartition(3).write.parquet(f"{path}/a")
+    I.update(spark, path, store, df.columns)
+    df.where("id % 4 = 0").repartition(1).write.parquet(f"{path}/b")
+    I.update(spark, path, store, df.columns)
+    return I.merged_profile(spark, path, store, df.columns).select("column_name", "rows", "non_null", "positives")
+
+
 # ---- M/E/A with fitted models (rows-only: MLlib fits have no SQL statement) -----------
 
 GBT_ROUNDS = 200       # early stopping keeps the first trees
@@ -743,6 +804,23 @@ def q_stream_decisions(spark, sf):
     return out.withColumn("risk_factors", F.concat_ws("|", "risk_factors"))
 
 
+def q_stream_decisions_repeated(spark, sf):
+    """D14 with a published model and state: every application arrives twice, in two batches; each is decided once."""
+    from riskspark.streaming import decisions as STR
+    from riskspark.streaming import serving as SV
+
+    base = scratch_path(spark, "serving")
+    apps, sc = served(spark, sf)
+    model = N.LinearModel("scorecard", list(SC.COEFFICIENTS), list(SC.COEFFICIENTS.values()), SC.INTERCEPT)
+    SV.publish_model(spark, f"{base}/model", model, sc)
+    apps.coalesce(1).write.parquet(f"{base}/incoming")
+    apps.coalesce(1).write.mode("append").parquet(f"{base}/incoming")
+    stream = STR.application_stream(spark, f"{base}/incoming", files_per_trigger=1)
+    SV.start_serving(stream, f"{base}/model", f"{base}/decisions", f"{base}/rejected", f"{base}/_checkpoint", with_timestamp=False).awaitTermination()
+    out = spark.read.parquet(f"{base}/decisions").drop("_epoch", "model_version")
+    return out.withColumn("risk_factors", F.concat_ws("|", "risk_factors"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

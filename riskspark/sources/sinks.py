@@ -22,6 +22,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.parquet(path)
 
 
+def write_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Write or rewrite the partitions that ``df`` holds and leave the others; a partition's rows are spread over files of
+    even size before the write (rebalance), so a partition is neither one huge file nor many tiny ones."""
+    (df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
+
+
 def write_report_csv(df: DataFrame, path: str) -> None:
     """A report (a row per column, model or feature) as one CSV file with a header; the plan runs once."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
