@@ -23,6 +23,7 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Callable
+from dataclasses import asdict
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +31,20 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import constants as K
 from riskspark.operators import attribute as A
+from riskspark.operators import boost as B
 from riskspark.operators import decide as D
 from riskspark.operators import evaluate as EV
+from riskspark.operators import newton as N
 from riskspark.operators import profile as P
 from riskspark.operators import split as S
 from riskspark.operators import train as T
 from riskspark.operators.encode import ScalerParams
+from riskspark.plans import artifacts
 from riskspark.plans import pipeline as PL
 from riskspark.sources import loans as L
 from riskspark.session import materialize
 from riskspark.sources import sinks
+from riskspark.streaming import serving as SV
 
 
 def load_loans(spark: SparkSession, loans_path: str | None = None, sf_dir: str | None = None,
@@ -96,10 +101,10 @@ def phase_train(spark: SparkSession, engineered: DataFrame, out: str, gbt_rounds
     train = split.filter(F.col("split") == "train")
     val = split.filter(F.col("split") == "val")
     n_train, n_val = train.count(), val.count()
-    lr = T.train_logistic(train, feats)
-    gbt = T.train_gbt(train, val, feats, max_iter=gbt_rounds)
-    sinks.save_model(lr.model, f"{out}/models/logistic_regression")
-    sinks.save_model(gbt.model, f"{out}/models/gradient_boosted_trees")
+    lr = N.fit_logistic(train, feats)
+    gbt = B.fit_boosted(train, val, feats, rounds=gbt_rounds)
+    artifacts.publish(spark, f"{out}/models/logistic_regression", asdict(lr))
+    artifacts.publish(spark, f"{out}/models/gradient_boosted_trees", asdict(gbt))
     held_out = split.filter(F.col("split") != "train")
     parts = [T.score(tm, held_out, keep=[K.KEY, "split", K.TARGET]).select(
         F.lit(tm.name).alias("model"), "split", F.col(K.TARGET).alias("label"), "p") for tm in (lr, gbt)]
@@ -108,6 +113,8 @@ def phase_train(spark: SparkSession, engineered: DataFrame, out: str, gbt_rounds
     metrics = [f"{s}_{m}" for s in ("val", "test") for m in EV.METRICS]
     sinks.write_report_csv(exact.withColumns({m: EV.r6(F.col(m)) for m in metrics}), f"{out}/reports/model_comparison")
     best = EV.best_model(exact).first()
+    scaler = ScalerParams(**sinks.read_record(spark, f"{out}/metadata/features")["scaler"])
+    SV.publish_model(spark, f"{out}/models/serving", gbt if best["best_model"] == gbt.name else lr, scaler)  # what scoring uses from now on
     by_model = {r["model_name"]: {m: r[m] for m in metrics} for r in exact.collect()}
     fields = ["model_name", "n_train", "n_val", "params", "best_iteration", "train_seconds"]
     record = {"best_model": best["best_model"], "version": K.MODEL_VERSION,
@@ -136,27 +143,29 @@ def model_info(spark: SparkSession, out: str) -> DataFrame:
                                         "features_count int, performance_metrics map<string,double>, from_metadata boolean")
 
 
-def phase_explain(spark: SparkSession, engineered: DataFrame, gbt: T.TrainedModel, features, out: str) -> None:
-    weights, trees = A.gbt_node_table(gbt.model.stages[-1], spark, features)
-    attr = A.tree_attribution(engineered, features, weights, trees)
-    sinks.write_report_csv(A.rank_importance(A.tree_importance(attr, features)), f"{out}/reports/feature_importance")
+def phase_explain(spark: SparkSession, engineered: DataFrame, out: str) -> None:
+    gbt = B.BoostedModel.from_json(json.dumps(artifacts.read(spark, f"{out}/models/gradient_boosted_trees")))
+    attr = A.tree_attribution(engineered, gbt.features, *B.node_table(gbt), margin_scale=1.0)
+    sinks.write_report_csv(A.rank_importance(A.tree_importance(attr, gbt.features)), f"{out}/reports/feature_importance")
 
 
-def phase_score(spark: SparkSession, applications: DataFrame, scaler, out: str, coefficients, intercept) -> None:
-    sinks.write_table(D.decisions(applications, scaler, coefficients, intercept), f"{out}/tables/decisions")
+def phase_score(spark: SparkSession, applications: DataFrame, out: str) -> None:
+    """Decisions by the published model and scaler: the best model of the last training."""
+    _, model, scaler = SV.published_model(spark, f"{out}/models/serving")
+    sinks.write_table(D.decide(applications, scaler, T.probability_of(model)), f"{out}/tables/decisions")
     sinks.write_table(D.rejected(applications), f"{out}/tables/rejected")
 
 
 def run_all(spark: SparkSession, loans: DataFrame, out: str, gbt_rounds: int = 200,
             applications: DataFrame | None = None) -> dict:
-    """All phases; scoring uses the stored scaler and the logistic regression fitted here."""
+    """All phases; scoring uses the stored scaler and the best model of those fitted here."""
     status = phase_load(spark, loans, out)
     cleaned = phase_eda(spark, loans, out)
-    engineered, fitted = phase_features(spark, cleaned, out)
+    engineered, _ = phase_features(spark, cleaned, out)
     trained = phase_train(spark, engineered, out, gbt_rounds=gbt_rounds)
-    phase_explain(spark, engineered, trained["gbt"], trained["features"], out)
+    phase_explain(spark, engineered, out)
     if applications is not None:
-        phase_score(spark, applications, fitted.scaler, out, *T.coefficients(trained["lr"]))
+        phase_score(spark, applications, out)
     status["best_model"] = trained["best_model"]
     return status
 
@@ -175,13 +184,9 @@ def run_phase(spark: SparkSession, phase: str, out: str, loans: Callable[[], Dat
     if phase == "train":
         return phase_train(spark, engineered, out, gbt_rounds=gbt_rounds)
     if phase == "explain":
-        gbt = T.TrainedModel("Gradient Boosted Trees", sinks.load_model(f"{out}/models/gradient_boosted_trees"), feats)
-        return phase_explain(spark, engineered, gbt, feats, out)
+        return phase_explain(spark, engineered, out)
     if phase == "score":
-        record = json.loads(sinks.read_metadata_json(spark, f"{out}/metadata/features").first()["record"])
-        lr = T.TrainedModel("Logistic Regression", sinks.load_model(f"{out}/models/logistic_regression"), feats)
-        apps = L.applications(loans()) if applications is None else applications
-        return phase_score(spark, apps, ScalerParams(**record["scaler"]), out, *T.coefficients(lr))
+        return phase_score(spark, L.applications(loans()) if applications is None else applications, out)
     raise ValueError(f"unknown phase {phase}")
 
 
