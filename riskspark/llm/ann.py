@@ -2,7 +2,7 @@
 per shard, stored as flat neighbour arrays, searched shard by shard and merged.
 
 Equal vectors are one point with its smallest ids. A shard holds a bounded number of points whose norms
-differ by a factor of two at most, brought near 1 by a power of two. Inner product is turned into
+lie in one narrow band, brought near 1 by a power of two. Inner product is turned into
 distance by one more coordinate that brings all points of a shard to the same length. Each layer holds the points whose hashed level reaches it; inside the shard's bound the
 candidates of a layer are exact, and a point keeps those that are nearer to it than to one kept
 before, in both directions. A search scans the top layer, then walks each layer down with a beam,
@@ -24,8 +24,14 @@ K = 20
 SHARD_POINTS = 8192
 QUERY_BLOCK = 512
 LINKS = 16
-BEAM = 160
+BEAM = 80
 TOP_LAYER = 48
+#: Largest widening of the beam for a query that does not settle.
+WIDEN = 8
+#: Norm bands of a factor of two.
+BANDS = 4
+#: Open points that a beam walk expands in one step.
+AT_ONCE = 4
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -43,11 +49,12 @@ def points_of(vectors: DataFrame, k: int = K) -> DataFrame:
 
 
 def norm_band(v):
-    """Rounded binary logarithm of the norm, without overflow: norms of a band differ by a factor of two at most."""
+    """Rounded binary logarithm of the norm in steps of 1 / BANDS, without overflow: norms of a band differ by a factor
+    of 2 ** (1 / BANDS) at most, so the lifted coordinate does not outweigh the directions."""
     top = F.array_max(F.transform(v, F.abs))
     plain = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     scaled = F.log2(top) + F.log2(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))) / 2
-    return F.floor(F.when(plain.between(1e-200, 1e300), F.log2(plain) / 2).otherwise(scaled) + 0.5).cast("int")
+    return F.floor(F.when(plain.between(1e-200, 1e300), F.log2(plain) / 2).otherwise(scaled) * BANDS + 0.5).cast("int")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -135,8 +142,27 @@ def build(vectors: np.ndarray, seed: int, links: int = LINKS) -> dict:
     return {"x": x, "layers": layers}
 
 
-def search(graph: dict, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
-    """(queries, <= beam) rows of the nearest points found, -1 where there are fewer."""
+def search(graph: dict, queries: np.ndarray, beam: int = BEAM, k: int = K) -> list[np.ndarray]:
+    """For each query the rows of the nearest points found, best first.
+
+    A query whose k best still changed in the second half of its walk walks again with twice the beam, up to
+    ``WIDEN`` times the beam or all points.
+    """
+    out: list = [None] * len(queries)
+    left, wide = np.arange(len(queries)), beam
+    while len(left):
+        found, settled = _search(graph, queries[left], wide, k)
+        last = wide >= min(beam * WIDEN, graph["x"].shape[0])
+        for i, row, ok in zip(left.tolist(), found, settled.tolist()):
+            if ok or last:
+                out[i] = row[row >= 0]
+        left = left[~settled] if not last else left[:0]
+        wide *= 2
+    return out
+
+
+def _search(graph: dict, queries: np.ndarray, beam: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """((queries, <= beam) rows of the nearest points found, -1 where there are fewer; which queries settled)."""
     x, layers = graph["x"], graph["layers"]
     q = np.hstack([_unit(queries), np.zeros((len(queries), 1))]).astype(np.float32)
     top = layers[-1][0]
@@ -148,18 +174,18 @@ def search(graph: dict, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
         local = np.full(len(x), -1, np.int32)
         local[members] = np.arange(len(members), dtype=np.int32)
         ef = min(len(members), beam if depth == 0 else 16)
-        found = _walk(x[members], links, q, local[entry], ef)
+        found, settled = _walk(x[members], links, q, local[entry], ef, k)
         entry = np.where(found >= 0, members[np.maximum(found, 0)], -1)
         if depth:
             entry = entry[:, :8]
             entry = np.where(entry >= 0, entry, entry[:, :1])
-    return entry
+    return entry, settled
 
 
-def _walk(x, links, q, start, ef) -> np.ndarray:
-    """Beam walks of all queries in step; (queries, ef) rows of the best found, best first."""
+def _walk(x, links, q, start, ef, k) -> tuple[np.ndarray, np.ndarray]:
+    """Beam walks of all queries in step; (queries, ef) rows of the best found, best first, and whether the k best
+    stood from the first half of a query's steps on."""
     nq, n = len(q), len(x)
-    rows = np.arange(nq)[:, None]
     seen = np.zeros((nq, n + 1), bool)
     seen[:, n] = True  # stands for "no neighbour"
     ids = np.full((nq, ef), n, np.int64)
@@ -183,20 +209,27 @@ def _walk(x, links, q, start, ef) -> np.ndarray:
 
     merge(np.arange(nq), start.astype(np.int64))
     active = np.arange(nq)
+    wide, kth = min(AT_ONCE, ef), min(k, ef) - 1
+    bar, changed, steps = np.full(nq, -np.inf, np.float32), np.zeros(nq, np.int64), np.zeros(nq, np.int64)
     while len(active):
         open_val = np.where(done[active], -np.inf, val[active])
-        best = open_val.argmax(1)
-        going = np.isfinite(open_val[np.arange(len(active)), best])
-        active, best = active[going], best[going]
+        best = np.argpartition(-open_val, wide - 1, axis=1)[:, :wide]
+        going = np.isfinite(np.take_along_axis(open_val, best, 1))
+        left = going.any(1)
+        active, best, going = active[left], best[left], going[left]
         if not len(active):
             break
-        done[active, best] = True
-        new = links[ids[active, best]].astype(np.int64)
-        merge(active, np.where(new < 0, n, new))
+        rows = active[:, None]
+        done[rows, best] |= going
+        new = links[np.where(going, ids[rows, best], 0)].astype(np.int64)
+        merge(active, np.where((new < 0) | ~going[:, :, None], n, new).reshape(len(active), -1))
+        now = -np.partition(-val[active], kth, axis=1)[:, kth]
+        steps[active] += 1
+        changed[active] = np.where(now > bar[active], steps[active], changed[active])
+        bar[active] = now
     order = np.argsort(-val, axis=1, kind="stable")
     out = np.take_along_axis(ids, order, 1)
-    del rows
-    return np.where(out == n, -1, out)
+    return np.where(out == n, -1, out), (2 * changed <= steps) | (ef >= n)
 
 
 INDEX = "shard int, dim int, n int, points binary, reps binary, ids array<array<long>>, layers array<struct<members:binary,links:binary>>"
@@ -206,7 +239,7 @@ def build_index(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFram
     """One row per shard and dimension: the points and the layers' flat neighbour arrays. Each band of norms has shards
     of its own."""
     banded = points.withColumn("band", norm_band(F.col("v")))
-    sizes = banded.groupBy("dim", "band").agg(F.count("*").alias("n")).orderBy("dim", "band").collect()  # at most 2,200 bands for each dimension
+    sizes = banded.groupBy("dim", "band").agg(F.count("*").alias("n")).orderBy("dim", "band").collect()  # at most 8,800 bands for each dimension
     if not sizes:
         return points.sparkSession.createDataFrame([], INDEX)
     parts, used = [], {}
@@ -266,10 +299,9 @@ def nearest(table: DataFrame, is_query, k: int = K, shard_points: int = SHARD_PO
                 qs = r["queries"].as_py()
                 qid = np.array([x["vec_id"] for x in qs], np.int64)
                 qv = np.array([x["v"] for x in qs], np.float64).reshape(-1, dim)
-                got = search({"x": _lift(pts), "layers": layers}, qv, beam)
+                got = search({"x": _lift(pts), "layers": layers}, qv, beam, k + 1)
                 out_q, out_v, out_s = [], [], []
                 for j, row in enumerate(got):
-                    row = row[row >= 0]
                     score = (pts[row] * qv[j]).sum(1)
                     best = sorted(((-s, v) for s, p in zip(score.tolist(), row.tolist()) for v in ids[p] if v != qid[j]))[:k]
                     out_q += [int(qid[j])] * len(best)

@@ -612,3 +612,23 @@ def test_every_operator_is_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) <= names and {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))
     assert set(entry.oracle_sql()) >= {"op1_warc", "op3_url_filter", "op6_decontamination", "op8_chat", "op10_line_dedup"}
+
+
+@pytest.mark.parametrize("dim,kind", [(64, "two"), (128, "two"), (128, "equal")])
+def test_recall_of_vectors_without_clusters(spark, dim, kind):
+    """Random directions, one shard's worth of points, at the registered parameters: recall 0.95 at least."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((8192, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "two":
+        x *= 2 ** rng.uniform(-0.5, 0.5, (8192, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 8192, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(got) and len(got) == 164
