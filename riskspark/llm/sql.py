@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from riskspark.llm import chat, decontam, substring, urlgraph, warc
+from riskspark.llm import chat, decontam, substring, urlgraph
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-OP1 = f"""
-WITH p AS (SELECT DISTINCT page_id, url, coalesce(html, '') AS html FROM pages),
+# of payloads of 100 bytes or more the smallest page_id (then url) is the response
+OP1 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
-f AS (SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS lead FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > lead THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id > lead THEN lead END AS refers_to, url AS target_uri
-FROM f"""
+f AS (SELECT *, page_id IS NOT NULL AND payload_bytes >= 100 AS counts FROM d),
+r AS (SELECT *, row_number() OVER w AS nth, min(page_id) OVER (PARTITION BY payload_digest, counts) AS lead FROM f
+      WINDOW w AS (PARTITION BY payload_digest, counts ORDER BY page_id, url NULLS FIRST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN counts AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN counts AND nth > 1 THEN lead END AS refers_to, url AS target_uri
+FROM r"""
 
 
 def _url_filter() -> str:

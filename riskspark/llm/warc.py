@@ -16,7 +16,7 @@ import io
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import chunked, stage, with_python
@@ -44,48 +44,51 @@ def _record(headers: list, block, size):
 
 
 def plan_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, digest, role, refers_id, refers_url) of each distinct (page_id, payload). No payload is shuffled."""
+    """(digest, refers_id, refers_url) of every payload of at least ``min_bytes`` bytes that several rows hold: its smallest
+    page_id and that page's smallest url. No payload is shuffled."""
     html = F.coalesce("html", F.lit(""))
     narrow = pages.select("page_id", "url", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
-    first = (narrow.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest")
-             .agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).where("first.page_id <> last").select("digest", "first"))
-    later = F.col("page_id") > F.col("first.page_id")
-    return narrow.select("page_id", "digest").distinct().join(first, "digest", "left").select(
-        "page_id", "digest", F.when(later, "revisit").otherwise("response").alias("role"),
-        F.when(later, F.col("first.page_id")).alias("refers_id"), F.when(later, F.col("first.url")).alias("refers_url"))
+    first = narrow.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
+    return first.where("n > 1").select("digest", F.col("first.page_id").alias("refers_id"), F.col("first.url").alias("refers_url"))
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Write one transaction (three records) per row of ``pages`` (page_id, url, html) under ``path``.
 
-    Of rows with equal payloads of at least ``min_bytes`` bytes the one with the smallest page_id is a
-    response, the others are revisits without the payload. NULL html: an empty payload. NULL url: no
-    target. Line breaks in a url are percent-encoded. A NULL page_id is never a revisit.
+    Of rows with equal payloads of at least ``min_bytes`` bytes the one with the smallest page_id (then url) is a
+    response, the others are revisits without the payload; of rows equal in everything the first is
+    that one, each has a record of its own. NULL html: an empty payload. NULL url: no target. Line breaks in a url are percent-encoded. A NULL page_id is never a revisit.
     """
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = max(1, math.ceil(total / file_bytes))
     clean = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     wide = pages.select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    # a payload that many rows share is dealt by page too, so its rows stand on many tasks
     roles = plan_roles(wide, min_bytes)
-    same = ["k", "digest"]  # a NULL page_id joins as -1 on its digest
-    key = F.coalesce(F.col("page_id"), F.lit(-1))
-    both = (wide.withColumn("digest", F.sha2("html", 256)).withColumn("k", key).repartition(files, *same)
-            .join(roles.withColumn("k", key).drop("page_id").distinct().repartition(files, *same), same))
+    keyed = wide.withColumn("digest", F.sha2("html", 256)).withColumn("u", F.coalesce(F.concat(F.lit("="), "url"), F.lit("")))
+    same = ["page_id", "digest", "u"]
+    own = keyed.repartition(files, *same).withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("u")))
+    # found without payloads, so the wide rows stay on the partitioning that they have
+    shared = keyed.select(*same).distinct().join(roles, "digest").repartition(files, *same)
+    both = own.join(shared, same, "left")
+    later = (F.col("page_id") > F.col("refers_id")) | ~(F.col("url").eqNullSafe(F.col("refers_url")) & (F.col("nth") == 1))
+    both = both.withColumn("role", F.when(F.col("refers_id").isNotNull() & F.col("page_id").isNotNull() & later, "revisit").otherwise("response"))
     size = F.octet_length("html")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(CRLF + CRLF))
-    response_id, digest = _uuid("response", F.col("page_id"), F.col("url"), F.col("digest")), F.concat(F.lit("sha256:"), F.col("digest"))
+    own_id = lambda kind: _uuid(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("nth"))
+    response_id, digest = own_id("response"), F.concat(F.lit("sha256:"), F.col("digest"))
     revisit = F.col("role") == "revisit"
-    first_id = _uuid("response", F.col("refers_id"), F.col("refers_url"), F.col("digest"))
+    first_id = _uuid("response", F.col("refers_id"), F.col("refers_url"), F.col("digest"), F.lit(1))
     common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.col("url"))]
     body = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     response = _record([("WARC-Type", F.col("role")), ("WARC-Record-ID", response_id), *common, ("WARC-Payload-Digest", digest),
                         ("WARC-Refers-To", F.when(revisit, first_id)), ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
                         ("Content-Type", F.lit("application/http;msgtype=response"))], body, F.octet_length(http) + F.when(revisit, 0).otherwise(size))
     ask = F.concat(F.lit("GET "), F.coalesce(F.col("url"), F.lit("/")), F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
-    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uuid("request", F.col("page_id"), F.col("url"), F.col("digest"))), *common,
+    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", own_id("request")), *common,
                        ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/http;msgtype=request"))], ask, F.octet_length(ask))
     notes = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit(""))
-    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", F.col("page_id"), F.col("url"), F.col("digest"))), *common,
+    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", own_id("metadata")), *common,
                         ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/warc-fields"))], notes, F.octet_length(notes))
     (both.select(F.explode(F.array(request, response, metadata)).alias("value"))
      .write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path))
@@ -174,7 +177,8 @@ def captures(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) ->
     """Write ``pages`` to ``path``, read the archives back and return per page: page_id, payload_bytes,
     payload_digest, record_type, refers_to (page_id of the response), target_uri.
 
-    Rows equal in page_id, url and html are one capture. An empty table gives no rows.
+    As many rows as ``pages`` has: rows equal in page_id, url and html are captures of their own. A revisit's length
+    and digest are those of the response that it refers to, as read back. An empty table gives no rows.
     """
     spark = pages.sparkSession
     write_archive(pages, path, min_bytes)
@@ -183,7 +187,10 @@ def captures(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) ->
         F.col("type").alias("record_type"), F.col("refers_to").alias("refers_record"), "target_uri")
     # many captures may refer to one response: its row is copied for each salt
     asked = got.where("refers_record IS NOT NULL").select("refers_record").distinct()
-    named = (got.where("record_type = 'response'").select(F.col("record_id").alias("refers_record"), F.col("page_id").alias("refers_to")).join(asked, "refers_record")
+    named = (got.where("record_type = 'response'").select(F.col("record_id").alias("refers_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).join(asked, "refers_record")
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     salted = got.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(named, ["refers_record", "salt"], "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    again = F.col("record_type") == "revisit"
+    return salted.join(named, ["refers_record", "salt"], "left").select(
+        "page_id", F.when(again, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(again, F.col("_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to", "target_uri")

@@ -360,16 +360,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(len(r.request) == 1 and len(r.metadata) == 1 for r in warc.assemble(records).collect())
     flat = warc.captures(pages, str(tmp_path / "c")).collect()
     want = []
-    for p, u, h in set(rows):
+    for i, (p, u, h) in enumerate(rows):  # every row is a record of its own
         body = (h or "").encode()
-        same = sorted(q for q, _, x in rows if q is not None and (x or "").encode() == body)
-        lead = same[0] if same and len(body) >= 100 else None
-        again = lead is not None and p is not None and p > lead
+        same = sorted((q, v is not None, v or "", j) for j, (q, v, x) in enumerate(rows) if q is not None and (x or "").encode() == body)
+        lead = same[0][0] if same and len(body) >= 100 else None
+        again = lead is not None and p is not None and same[0][3] != i
         want.append((p, len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", lead if again else None))
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in flat) == Counter(want)
+    assert len(flat) == len(rows)
     assert warc.captures(spark.createDataFrame([], PAGES), str(tmp_path / "e")).count() == 0
 
 
+def test_equal_rows_are_captures_of_their_own(spark, tmp_path):
+    rows = [(1, None, "z" * 150)] * 3 + [(1, "a", "z" * 150), (2, "a", "z" * 150)] + [(5, "s", "short")] * 2 + [(None, "n", "z" * 150)] * 2
+    got = Counter((r.page_id, r.target_uri, r.record_type, r.refers_to, r.payload_bytes) for r in warc.captures(spark.createDataFrame(rows, PAGES), str(tmp_path / "w")).collect())
+    assert got == Counter({(1, None, "response", None, 150): 1, (1, None, "revisit", 1, 150): 2, (1, "a", "revisit", 1, 150): 1, (2, "a", "revisit", 1, 150): 1,
+                           (5, "s", "response", None, 5): 2, (None, "n", "response", None, 150): 2})
+
+
 def test_warc_reads_plain_and_member_compressed_files(spark, tmp_path):
     import gzip
 
