@@ -4,7 +4,8 @@ Patterns are the windows of ``window`` consecutive words of every benchmark item
 words is one shorter window. Windows of one length share a search: a shift table over blocks of two
 words skips positions where no window can end, a zero shift leads to the bucket of the windows that
 end in this block, and a direct comparison confirms an occurrence. The items are read in blocks of a
-bounded size, so any number of them can be searched.
+bounded size and searched a few blocks a pass; the hits so far travel with the documents, so neither the driver nor an
+executor ever holds more than one pass's blocks, however many items there are.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import raw_strings, to_batch, with_python
+from riskspark.llm.common import raw_strings, stage, to_batch, with_python
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
+#: Blocks of items that one pass over the documents searches (what is broadcast at once: BLOCKS * BLOCK_BYTES of text).
+BLOCKS = 4
 #: Text of documents that is searched for one block of items before the next block's turn: with more
 #: blocks than a worker keeps tables, they are built anew once for this much text.
 SLICE_BYTES = 8 << 20
@@ -43,7 +46,7 @@ class Search:
         self.default = size - self.block + 1
         self.items: dict[tuple, set[str]] = {}
         self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, list[tuple]] = {}
+        self.bucket: dict[tuple, set[tuple]] = {}
         self.last: set[bytes] = set()
 
     def add(self, window: tuple, item: str | None) -> None:
@@ -54,7 +57,7 @@ class Search:
                 key = window[end - self.block:end]
                 self.shift[key] = min(self.shift.get(key, self.default), self.size - end)
                 self.last.add(key[-1])
-            self.bucket.setdefault(window[-self.block:], []).append(window)
+            self.bucket.setdefault(window[-self.block:], set()).add(window)
         if item is not None:
             known.add(item)
 
@@ -71,10 +74,9 @@ class Search:
                 i += step
                 continue
             here = tuple(words[i - size:i])
-            for window in bucket[key]:
-                if window == here:
-                    spans.append((i - size, i))
-                    found |= self.items[window]
+            if here in bucket[key]:  # compared word by word with the bucket's windows of equal hash
+                spans.append((i - size, i))
+                found |= self.items[here]
             i += 1
 
 
@@ -123,45 +125,57 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
-               keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+               keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES, blocks: int = BLOCKS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, spans (array of start, end in words), items (sorted).
 
     A NULL text has no words. An item without words has no window; repeated items count once; a NULL
     item_id marks words but is not listed. Windows never cross documents. ``keep`` names columns of
-    ``docs`` to return as well (first). Empty tables: no rows, or no hits.
+    ``docs`` to return as well (first). Empty tables: no rows, or no hits. With more than ``blocks`` blocks of items the
+    documents are read once for each ``blocks`` of them, the hits so far written beside them in between.
     """
-    sc = docs.sparkSession.sparkContext
-    run_id = uuid.uuid4().hex
-    holders = [sc.broadcast(block) for block in item_blocks(benchmark, block_bytes)]
     kept = docs.select(*[F.col(c) for c in keep or []]).schema
-    src = docs.select(*[F.col(c) for c in keep or []], F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    found_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string()))])
-
-    def scan(texts):
-        words = [words_of(t) for t in texts]
-        hits = [([], set()) for _ in words]
-        for k, holder in enumerate(holders):
-            for search in tables_of((run_id, k, window), holder, window):
-                for ws, (spans, found) in zip(words, hits):
-                    search.find(ws, spans, found)
-        for ws, (spans, found) in zip(words, hits):
-            spans = merged(spans)
-            yield len(ws), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], sorted(found)
-
-    def run(batches):
-        for b in batches:
-            for first, n in slices(b.column("__text"), slice_bytes):
-                part = b.slice(first, n)
-                texts, ids = raw_strings(part.column("__text")), part.column("__id").to_pylist()
-                got = to_batch([(d, *x) for d, x in zip(ids, scan(texts))], found_schema)
-                left = [part.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays(left + got.columns, names=[*kept.names, *(f"__{n}" for n in found_schema.names)])
-
-    out = "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"__{x}" for x in re.split(r", (?=\w+ )", out))])
-    res = with_python(src).mapInArrow(run, ddl)
-    return res.select(*[F.col(c) for c in keep or []], *[F.col(f"__{n}").alias(n) for n in found_schema.names if not (keep and n in keep)])
+    hits = "__n_words long, __spans array<struct<start:int,end:int>>, __items array<string>"
+    own = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__id long", "__text string"]
+    none = [F.lit(None).cast("long").alias("__n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("__spans"), F.array().cast("array<string>").alias("__items")]
+    src = docs.select(*[F.col(c) for c in keep or []], F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *none)
+    found_schema = pa.schema([("__n_words", pa.int64()), ("__spans", pa.list_(span)), ("__items", pa.list_(pa.string()))])
+
+    def searched(df: DataFrame, holders: list) -> DataFrame:
+        run_id = uuid.uuid4().hex
+
+        def scan(texts, spans_before, items_before):
+            words = [words_of(t) for t in texts]
+            got = [([(x["start"], x["end"]) for x in spans], set(items)) for spans, items in zip(spans_before, items_before)]
+            for k, holder in enumerate(holders):
+                for search in tables_of((run_id, k, window), holder, window):
+                    for ws, (spans, found) in zip(words, got):
+                        search.find(ws, spans, found)
+            for ws, (spans, found) in zip(words, got):
+                yield len(ws), [{"start": a, "end": b} for a, b in merged(spans)], sorted(found)
+
+        def run(batches):
+            for b in batches:
+                for first, n in slices(b.column("__text"), slice_bytes):
+                    part = b.slice(first, n)
+                    rows = scan(raw_strings(part.column("__text")), part.column("__spans").to_pylist(), part.column("__items").to_pylist())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:len(own)], *to_batch(list(rows), found_schema).columns], names=[*kept.names, "__id", "__text", *found_schema.names])
+
+        return with_python(df).mapInArrow(run, ", ".join([*own, hits]))
+
+    sc = docs.sparkSession.sparkContext
+    waiting: list = []
+    for block in item_blocks(benchmark, block_bytes):
+        if len(waiting) == blocks:  # another block follows: search these, write, and forget them
+            src = stage(searched(src, waiting), "leaks")
+            for holder in waiting:
+                holder.destroy()
+            waiting = []
+        waiting.append(sc.broadcast(block))
+    res = searched(src, waiting)
+    words = F.aggregate("__spans", F.lit(0), lambda total, x: total + x["end"] - x["start"]).cast("long")
+    out = {"doc_id": F.col("__id"), "n_words": F.col("__n_words"), "n_hit": words, "spans": F.col("__spans"), "items": F.col("__items")}
+    return res.select(*[F.col(c) for c in keep or []], *[c.alias(n) for n, c in out.items() if not (keep and n in keep)])
 
 
 def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:

@@ -33,17 +33,17 @@ def _url_filter() -> str:
            f"""named AS (SELECT DISTINCT page_id, src, {host.format("(CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END)")} AS dst FROM links)""",
            "edges AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM named WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
            "hosts AS (SELECT host, count(*) FILTER (action = 'allow') / count(*) AS allow, count(*) FILTER (action = 'block') / count(*) AS block FROM ruled WHERE host <> '' GROUP BY host)",
-           "size AS (SELECT greatest(1, count(*)) AS n FROM hosts)"]
+           "size AS (SELECT coalesce(sum(allow), 0) / 0.15 AS allow_unit, coalesce(sum(block), 0) / 0.15 AS block_unit FROM hosts)"]
     for kind, src, dst in (("allow", "src", "dst"), ("block", "dst", "src")):
         out += [f"{kind}_p AS (SELECT {src} AS a, {dst} AS b, weight / sum(weight) OVER (PARTITION BY {src}) AS p FROM edges)",
                 f"{kind}_0 AS (SELECT host, {kind} / sum({kind}) OVER () AS mass FROM hosts WHERE {kind} > 0)"]
-        for k in range(1, urlgraph.ROUNDS + 1):
-            out.append(f"{kind}_{k} AS (SELECT host, sum(mass) AS mass FROM (SELECT b AS host, p * mass * {urlgraph.DAMPING} AS mass FROM {kind}_p JOIN {kind}_{k - 1} ON a = host "
-                       f"UNION ALL SELECT host, mass * {1 - urlgraph.DAMPING} FROM {kind}_0) GROUP BY host)")
-    last = urlgraph.ROUNDS
+        for k in range(1, 12 + 1):
+            out.append(f"{kind}_{k} AS (SELECT host, sum(mass) AS mass FROM (SELECT b AS host, p * mass * 0.85 AS mass FROM {kind}_p JOIN {kind}_{k - 1} ON a = host "
+                       f"UNION ALL SELECT host, mass * 0.15 FROM {kind}_0) GROUP BY host)")
+    last = 12
     return "WITH " + ",\n".join(out) + f"""
-SELECT page_id, r.host, path, rule, coalesce(action, CASE WHEN round(coalesce(b.mass, 0) * n, 12) >= {urlgraph.THRESHOLD}
-       AND round(coalesce(b.mass, 0) * n, 12) > round(coalesce(a.mass, 0) * n, 12) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, r.host, path, rule, coalesce(action, CASE WHEN round(coalesce(b.mass, 0) * block_unit, 12) >= 0.5
+       AND round(coalesce(b.mass, 0) * block_unit, 12) > round(coalesce(a.mass, 0) * allow_unit, 12) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled r CROSS JOIN size LEFT JOIN allow_{last} a ON r.host = a.host LEFT JOIN block_{last} b ON r.host = b.host"""
 
 

@@ -2,8 +2,9 @@
 
 Hosts are nodes; an absolute link in a page's html is an edge from the page's host to the link's
 host. Personalised PageRank carries trust from hosts with allowed pages along the edges, and
-distrust from hosts with blocked pages against them; a seed's mass is the share of its pages. A host is blocked if its distrust reaches a
-threshold and exceeds its trust. DataFrame functions only.
+distrust from hosts with blocked pages against them; a seed's mass is the share of its pages. Scores are in units of what a host
+whose pages are all decided holds by itself, so they don't shrink with the number of hosts or seeds. A host is blocked if its
+distrust reaches a threshold and exceeds its trust. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from riskspark.llm.common import ascii_lower, stage
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 ROUNDS = 12
 DAMPING = 0.85
-#: Distrust, as a multiple of the mean over all hosts, from which a host is blocked.
-THRESHOLD = 1.0
+#: Distrust from which a host is blocked: half of what a host with nothing but blocked pages holds by itself.
+THRESHOLD = 0.5
 _HREF = r"(?i)href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s\"'<>]+)"
 
 
@@ -77,9 +78,11 @@ def judge(pages: DataFrame, rules=None, rounds: int = ROUNDS, damping: float = D
     hosts = stage(narrow.where("host <> ''").groupBy("host").agg(share("allow"), share("block")), "hosts")
     trust = propagate(edges, hosts.select("host", F.col("allow").alias("mass")), rounds, damping)
     distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), hosts.select("host", F.col("block").alias("mass")), rounds, damping)
-    n = max(1, hosts.count())
+    # propagate() scales the seeds to sum 1; back to shares, and a seed's own part to 1
+    mass = hosts.agg(F.sum("allow"), F.sum("block")).first()
+    unit = {"trust": float(mass[0] or 0.0) / (1 - damping), "distrust": float(mass[1] or 0.0) / (1 - damping)}
     scores = hosts.select("host").join(trust.withColumnRenamed("mass", "trust"), "host", "left").join(distrust.withColumnRenamed("mass", "distrust"), "host", "left").select(
-        "host", *[F.round(F.coalesce(c, F.lit(0.0)) * n, 12).alias(c) for c in ("trust", "distrust")])
+        "host", *[F.round(F.coalesce(c, F.lit(0.0)) * unit[c], 12).alias(c) for c in ("trust", "distrust")])
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return narrow.join(scores, "host", "left").select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.action"), F.when(bad, "block"), F.lit("allow")).alias("verdict"), "trust", "distrust")
