@@ -637,6 +637,19 @@ def q_training_runs(spark, sf):
     return out.withColumns({"reg_param": F.round("reg_param", 9), "scale_pos_weight": r6(F.col("scale_pos_weight"))})
 
 
+def q_training_records(spark, sf):
+    """What a training leaves behind: rounds or iterations, and the validation metrics of both fitted models."""
+    lr, split = _lr(spark, sf)
+    gbt, _ = _gbt(spark, sf, split)
+    sp, _ = split()
+    val = _part(sp, "val")
+    scores = [val.select(F.lit(m.name).alias("model"), "split", F.col("Default").alias("label"), TR.probability_of(m).alias("p")) for m in (lr, gbt)]
+    rounds = spark.createDataFrame([(lr.name, lr.info["iterations"], lr.info["iterations"]), (gbt.name, gbt.info["best_iteration"], gbt.info["fitted_rounds"])],
+                                   "model string, best_iteration int, fitted_rounds int")
+    found = EV.metrics(scores[0].unionByName(scores[1])).select("model", *[r6(F.col(c)).alias(f"val_{c}") for c in ("auc", "f1", "precision", "recall")])
+    return rounds.join(found, "model")
+
+
 def q_train_lr_optimum(spark, sf):
     """M5 checked: the gradient of the objective at the fitted coefficients is 0, term by term."""
     from riskspark.operators import train as T
