@@ -49,7 +49,8 @@ def test_every_query_registered_with_oracle_or_rows_only():
     assert set(E.oracle_sql()) <= set(E.queries()) and set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
     rows_only = set(QUERIES) - set(ORACLES)
     # a fit has no SQL statement; what must hold for it is value-checked in the entries beside these
-    assert rows_only == {"train_lr", "tune_lr", "train_gbt", "evaluate_trained", "tree_attribution", "tree_importance"}
+    assert rows_only == {"train_lr", "tune_lr", "train_gbt", "evaluate_trained", "tree_attribution", "tree_importance",
+                         "decisions_trained", "training_records"}
 
 
 def test_entry_runs(spark):
