@@ -34,18 +34,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document holds; documents stay, ``n_chars`` follows the text."""
+    """Cuts passages that an earlier document holds; documents stay, ``n_chars`` follows the text.
+
+    NULL and empty texts stay as they are (a NULL text has a NULL ``n_chars``); a text of repeats only becomes empty. Ties go to
+    the smaller doc_id, then the earlier place; a NULL doc_id ranks first. Rows equal in doc_id and text get the same text.
+    An empty table gives no rows."""
     return substring.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item.
+
+    A NULL or empty text holds none, so it stays; repeated rows stay or go together. Items without text are never found, repeated
+    items count once. An empty benchmark drops nothing; an empty table gives no rows."""
     found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), keep=docs.columns)
     return found.where("n_hit = 0").select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in training sequences."""
+    """Pieces of the remaining documents in training sequences.
+
+    A NULL or empty text is its end id alone. Every row is packed, repeated ones too; equal Hilbert keys are ordered by document. An
+    empty table gives no rows."""
     return packing.pack(docs)
 
 
