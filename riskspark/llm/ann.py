@@ -145,7 +145,7 @@ def build(vectors: np.ndarray, seed: int, links: int = LINKS) -> dict:
 def search(graph: dict, queries: np.ndarray, beam: int = BEAM, k: int = K) -> list[np.ndarray]:
     """For each query the rows of the nearest points found, best first.
 
-    A query whose k best still changed in the second half of its walk walks again with twice the beam, up to
+    A query whose k best still changed in the last quarter of its walk walks again with twice the beam, up to
     ``WIDEN`` times the beam or all points.
     """
     out: list = [None] * len(queries)
@@ -184,7 +184,7 @@ def _search(graph: dict, queries: np.ndarray, beam: int, k: int) -> tuple[np.nda
 
 def _walk(x, links, q, start, ef, k) -> tuple[np.ndarray, np.ndarray]:
     """Beam walks of all queries in step; (queries, ef) rows of the best found, best first, and whether the k best
-    stood from the first half of a query's steps on."""
+    stood during the last quarter of a query's steps."""
     nq, n = len(q), len(x)
     seen = np.zeros((nq, n + 1), bool)
     seen[:, n] = True  # stands for "no neighbour"
@@ -229,7 +229,7 @@ def _walk(x, links, q, start, ef, k) -> tuple[np.ndarray, np.ndarray]:
         bar[active] = now
     order = np.argsort(-val, axis=1, kind="stable")
     out = np.take_along_axis(ids, order, 1)
-    return np.where(out == n, -1, out), (2 * changed <= steps) | (ef >= n)
+    return np.where(out == n, -1, out), (4 * changed <= 3 * steps) | (ef >= n)
 
 
 INDEX = "shard int, dim int, n int, points binary, reps binary, ids array<array<long>>, layers array<struct<members:binary,links:binary>>"
