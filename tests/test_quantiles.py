@@ -65,3 +65,17 @@ def test_data_is_not_shuffled(spark):
         Q.F.inline = real
     assert got == want(df, ["x"], [0.25, 0.75])
     assert df.select(real(seen[0])).count() < 0.02 * 200_000
+
+
+def test_many_brackets_are_counted_in_a_plan_of_fixed_size(spark, monkeypatch):
+    from riskspark.functions import quantiles as Q
+
+    rows = [(i, None if i % 11 == 0 else float((i * 37) % 201), -0.0 if i % 3 else 0.0, float("nan") if i % 5 == 0 else i / 7, None) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double").repartition(5)
+    probs, names = [i / 40 for i in range(1, 40)], ["a", "b", "c", "d"]
+    want = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in names]).first()
+    monkeypatch.setattr(Q, "MANY", 0)
+    for sketch in (1000, 20):  # a rough sketch leaves wide brackets
+        got = Q.exact_quantiles(df, names, probs, sketch=sketch)
+        for c in names:
+            assert repr([v if v is None else v + 0.0 for v in got[c]]) == repr([v + 0.0 for v in want[c]] if want[c] else [None] * len(probs))  # of -0.0 and 0.0 either may be met
