@@ -674,7 +674,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert set(queries.QUERIES) <= names and {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert set(queries.QUERIES) <= names and {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14))
     assert set(entry.oracle_sql()) >= {"op1_warc", "op3_url_filter", "op6_decontamination", "op8_chat", "op10_line_dedup"}
 
 
