@@ -6,7 +6,8 @@ lie in one narrow band, brought near 1 by a power of two. Inner product is turne
 distance by one more coordinate that brings all points of a shard to the same length. Each layer holds the points whose hashed level reaches it; inside the shard's bound the
 candidates of a layer are exact, and a point keeps those that are nearer to it than to one kept
 before, in both directions. A search scans the top layer, then walks each layer down with a beam,
-for a block of queries at a time. All that the last beam holds is scored in double precision.
+for a block of queries at a time. All that the last beam holds is scored in double precision. Every
+shard is walked once; what all shards hold together tells which of them are worth a wider beam.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import stage, with_python
+from riskspark.llm.common import stage, to_batch, with_python
 
 K = 20
 SHARD_POINTS = 8192
@@ -26,12 +27,14 @@ QUERY_BLOCK = 512
 LINKS = 16
 BEAM = 80
 TOP_LAYER = 48
-#: Largest widening of the beam for a query that does not settle.
+#: Largest widening of the beam, in all, for a query that does not settle. The first walk of a shard takes twice the beam.
 WIDEN = 8
 #: Norm bands of a factor of two.
 BANDS = 4
 #: Open points that a beam walk expands in one step.
 AT_ONCE = 4
+#: Pairs of a query and a point that are scored at a time: their vectors stay in the cache.
+SCORED = 2048
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -142,27 +145,30 @@ def build(vectors: np.ndarray, seed: int, links: int = LINKS) -> dict:
     return {"x": x, "layers": layers}
 
 
-def search(graph: dict, queries: np.ndarray, beam: int = BEAM, k: int = K) -> list[np.ndarray]:
+def search(graph: dict, queries: np.ndarray, beam: int = BEAM, k: int = K, floor: np.ndarray | None = None, widen: int = WIDEN) -> list[np.ndarray]:
     """For each query the rows of the nearest points found, best first.
 
-    A query whose k best still changed in the last quarter of its walk walks again with twice the beam, up to
-    ``WIDEN`` times the beam or all points.
+    A query of whose k best one was met in the last quarter of its walk walks again with twice the beam, up to
+    ``widen`` times the beam or all points. Points below a query's ``floor`` (an inner product) don't count for that.
     """
     out: list = [None] * len(queries)
-    left, wide = np.arange(len(queries)), beam
+    left, wide, most = np.arange(len(queries)), beam, min(beam * widen, graph["x"].shape[0])
+    low = np.full(len(queries), -np.inf) if floor is None else floor
     while len(left):
-        found, settled = _search(graph, queries[left], wide, k)
-        last = wide >= min(beam * WIDEN, graph["x"].shape[0])
-        for i, row, ok in zip(left.tolist(), found, settled.tolist()):
-            if ok or last:
-                out[i] = row[row >= 0]
-        left = left[~settled] if not last else left[:0]
+        found, late = search_once(graph, queries[left], wide)
+        for i, row in zip(left.tolist(), found):
+            out[i] = row[row >= 0]
+        if wide >= most:
+            break
+        val = (graph["points"][np.maximum(found[:, :k], 0)] * queries[left, None]).sum(2)
+        left = left[((val >= low[left, None]) & late[:, :k] & (found[:, :k] >= 0)).any(1)]
         wide *= 2
     return out
 
 
-def _search(graph: dict, queries: np.ndarray, beam: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """((queries, <= beam) rows of the nearest points found, -1 where there are fewer; which queries settled)."""
+def search_once(graph: dict, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, <= beam): rows of the nearest points found, best first, -1 where there are fewer, and whether each was
+    met in the last quarter of the query's walk only."""
     x, layers = graph["x"], graph["layers"]
     q = np.hstack([_unit(queries), np.zeros((len(queries), 1))]).astype(np.float32)
     top = layers[-1][0]
@@ -174,43 +180,50 @@ def _search(graph: dict, queries: np.ndarray, beam: int, k: int) -> tuple[np.nda
         local = np.full(len(x), -1, np.int32)
         local[members] = np.arange(len(members), dtype=np.int32)
         ef = min(len(members), beam if depth == 0 else 16)
-        found, settled = _walk(x[members], links, q, local[entry], ef, k)
+        found, late = _walk(x[members], links, q, local[entry], ef)
         entry = np.where(found >= 0, members[np.maximum(found, 0)], -1)
         if depth:
             entry = entry[:, :8]
             entry = np.where(entry >= 0, entry, entry[:, :1])
-    return entry, settled
+    return entry, late
 
 
-def _walk(x, links, q, start, ef, k) -> tuple[np.ndarray, np.ndarray]:
-    """Beam walks of all queries in step; (queries, ef) rows of the best found, best first, and whether the k best
-    stood during the last quarter of a query's steps."""
+def _walk(x, links, q, start, ef) -> tuple[np.ndarray, np.ndarray]:
+    """Beam walks of all queries in step; (queries, ef) rows of the best found, best first, and whether each was met in
+    the last quarter of the query's steps (never if the beam holds all points)."""
     nq, n = len(q), len(x)
     seen = np.zeros((nq, n + 1), bool)
     seen[:, n] = True  # stands for "no neighbour"
     ids = np.full((nq, ef), n, np.int64)
     val = np.full((nq, ef), -np.inf, np.float32)
     done = np.ones((nq, ef), bool)
-    pad = np.vstack([x, np.zeros((1, x.shape[1]), x.dtype)])
+    met = np.zeros((nq, ef), np.int32)
+    steps = np.zeros(nq, np.int32)
 
     def merge(at, new):
-        nonlocal ids, val, done
         r = at[:, None]
         new = np.sort(new, axis=1)
         new = np.where(np.hstack([np.zeros((len(new), 1), bool), new[:, 1:] == new[:, :-1]]), n, new)
         new = np.where(seen[r, new], n, new)
         seen[r, new] = True
-        score = np.einsum("qd,qkd->qk", q[at], pad[new])
-        score = np.where(new == n, -np.inf, score)
+        fresh = new < n  # most neighbours were met before: only the others are moved up and scored
+        row, count = np.nonzero(fresh)[0], fresh.sum(1)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        point = new[fresh]
+        new = np.full((len(at), max(int(count.max(initial=0)), 1)), n, np.int64)
+        new[row, place] = point
+        score = np.full(new.shape, -np.inf, np.float32)
+        for s in range(0, len(point), SCORED):
+            part = slice(s, s + SCORED)
+            score[row[part], place[part]] = np.einsum("pd,pd->p", np.take(q, at[row[part]], axis=0), np.take(x, point[part], axis=0))
         all_ids, all_val = np.hstack([ids[at], new]), np.hstack([val[at], score])
-        all_done = np.hstack([done[at], new == n])
+        all_done, all_met = np.hstack([done[at], new == n]), np.hstack([met[at], np.broadcast_to(steps[at, None], new.shape)])
         order = np.argpartition(-all_val, ef - 1, axis=1)[:, :ef]
-        ids[at], val[at], done[at] = (np.take_along_axis(t, order, 1) for t in (all_ids, all_val, all_done))
+        ids[at], val[at], done[at], met[at] = (np.take_along_axis(t, order, 1) for t in (all_ids, all_val, all_done, all_met))
 
     merge(np.arange(nq), start.astype(np.int64))
     active = np.arange(nq)
-    wide, kth = min(AT_ONCE, ef), min(k, ef) - 1
-    bar, changed, steps = np.full(nq, -np.inf, np.float32), np.zeros(nq, np.int64), np.zeros(nq, np.int64)
+    wide = min(AT_ONCE, ef)
     while len(active):
         open_val = np.where(done[active], -np.inf, val[active])
         best = np.argpartition(-open_val, wide - 1, axis=1)[:, :wide]
@@ -222,14 +235,11 @@ def _walk(x, links, q, start, ef, k) -> tuple[np.ndarray, np.ndarray]:
         rows = active[:, None]
         done[rows, best] |= going
         new = links[np.where(going, ids[rows, best], 0)].astype(np.int64)
-        merge(active, np.where((new < 0) | ~going[:, :, None], n, new).reshape(len(active), -1))
-        now = -np.partition(-val[active], kth, axis=1)[:, kth]
         steps[active] += 1
-        changed[active] = np.where(now > bar[active], steps[active], changed[active])
-        bar[active] = now
+        merge(active, np.where((new < 0) | ~going[:, :, None], n, new).reshape(len(active), -1))
     order = np.argsort(-val, axis=1, kind="stable")
-    out = np.take_along_axis(ids, order, 1)
-    return np.where(out == n, -1, out), (4 * changed <= 3 * steps) | (ef >= n)
+    out, met = np.take_along_axis(ids, order, 1), np.take_along_axis(met, order, 1)
+    return np.where(out == n, -1, out), (4 * met > 3 * steps[:, None]) & (ef < n)
 
 
 INDEX = "shard int, dim int, n int, points binary, reps binary, ids array<array<long>>, layers array<struct<members:binary,links:binary>>"
@@ -279,17 +289,40 @@ def nearest(table: DataFrame, is_query, k: int = K, shard_points: int = SHARD_PO
     points = stage(points_of(vectors, k), "points")
     index = stage(build_index(points, shard_points), "index")
     queries = stage(vectors.where(is_query).distinct(), "queries")
+    graphs = index.drop("n")
     blocks = max(1, math.ceil(queries.count() / query_block))
-    dealt = (queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).alias("block"))
-             .groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries")))  # about query_block rows each
-    pairs = dealt.join(index.select("dim", "shard"), "dim").repartition("dim", "block", "shard").join(index.drop("n"), ["dim", "shard"])
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    dealt = queries.select("vec_id", "v", F.size("v").alias("dim"), F.lit(None).cast("double").alias("floor"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).alias("block"))
+    first = stage(_walked(_blocks(dealt, "dim", "block").join(index.select("dim", "shard"), "dim").repartition("dim", "block", "shard"), graphs, 2 * beam, k, True), "found")
+
+    ranked = first.select("query_id", "vec_id", "score").distinct().withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    floors = ranked.where(F.col("r") == k).select("query_id", F.col("score").alias("floor"))  # no such row: fewer than k found, no floor
+    late = first.where("late").join(floors, "query_id", "left").where("floor IS NULL OR score >= floor").select(F.col("query_id").alias("vec_id"), "dim", "shard", "floor").distinct()
+    again = late.join(queries.withColumn("dim", F.size("v")), ["vec_id", "dim"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)))
+    second = _walked(_blocks(again, "dim", "block", "shard"), graphs, 4 * beam, k, False)
+
+    found = first.drop("late", "dim", "shard").union(second.drop("late", "dim", "shard")).distinct()
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _blocks(queries: DataFrame, *keys: str) -> DataFrame:
+    return queries.groupBy(*keys).agg(F.collect_list(F.struct("vec_id", "v", "floor")).alias("queries"))  # about query_block rows each
+
+
+_FOUND = "query_id long, vec_id long, score double, dim int, shard int, late boolean"
+
+
+def _walked(pairs: DataFrame, graphs: DataFrame, beam: int, k: int, once: bool) -> DataFrame:
+    """The k best of every pair of a query and a shard. ``once``: a single walk, ``late`` marks points met in its last
+    quarter. Else the beam widens for queries with such points at their floor or above, from ``beam`` to what ``WIDEN``
+    allows for the first beam, a quarter of it."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("dim", pa.int32()), ("shard", pa.int32()), ("late", pa.bool_())])
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 r = {n: b.column(n)[i] for n in b.schema.names}
-                dim = r["dim"].as_py()
+                dim, shard = r["dim"].as_py(), r["shard"].as_py()
                 pts = np.frombuffer(r["points"].as_py(), "<f8").reshape(-1, dim)
                 layers = []
                 for lay in r["layers"].as_py():
@@ -299,16 +332,18 @@ def nearest(table: DataFrame, is_query, k: int = K, shard_points: int = SHARD_PO
                 qs = r["queries"].as_py()
                 qid = np.array([x["vec_id"] for x in qs], np.int64)
                 qv = np.array([x["v"] for x in qs], np.float64).reshape(-1, dim)
-                got = search({"x": _lift(pts), "layers": layers}, qv, beam, k + 1)
-                out_q, out_v, out_s = [], [], []
+                graph = {"x": _lift(pts), "points": pts, "layers": layers}
+                if once:
+                    got, late = search_once(graph, qv, beam)
+                    got = [row[row >= 0] for row in got]
+                else:
+                    got = search(graph, qv, beam, k + 1, np.array([-np.inf if x["floor"] is None else x["floor"] for x in qs]), WIDEN // 4)
+                    late = np.zeros((len(got), max(map(len, got))), bool)
+                out = []
                 for j, row in enumerate(got):
                     score = (pts[row] * qv[j]).sum(1)
-                    best = sorted(((-s, v) for s, p in zip(score.tolist(), row.tolist()) for v in ids[p] if v != qid[j]))[:k]
-                    out_q += [int(qid[j])] * len(best)
-                    out_v += [v for _, v in best]
-                    out_s += [-s for s, _ in best]
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], schema=schema)
+                    best = sorted(((-s, v, new) for s, p, new in zip(score.tolist(), row.tolist(), late[j].tolist()) for v in ids[p] if v != qid[j]))[:k]
+                    out += [(int(qid[j]), v, -s, dim, shard, new) for s, v, new in best]
+                yield to_batch(out, schema)
 
-    found = with_python(pairs.select("dim", "points", "ids", "layers", "queries")).mapInArrow(run, "query_id long, vec_id long, score double").distinct()
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return with_python(pairs.join(graphs, ["dim", "shard"]).select("dim", "shard", "points", "ids", "layers", "queries")).mapInArrow(run, _FOUND)

@@ -696,3 +696,23 @@ def test_recall_of_vectors_without_clusters(spark, dim, kind):
         s[q] = -np.inf
         hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
     assert hits >= 0.95 * 20 * len(got) and len(got) == 164
+
+
+def test_a_search_widens_only_for_points_at_the_floor(monkeypatch):
+    """Shards are searched again only where a late point could be among the merged k best, from a kept graph."""
+    x = np.random.default_rng(4).standard_normal((3000, 32))
+    q = x[::60] + 0.1
+    graph = {**ann.build(x, 11), "points": x}
+    walked = []
+    once = ann.search_once
+    monkeypatch.setattr(ann, "search_once", lambda g, qs, beam: walked.append((beam, len(qs))) or once(g, qs, beam))
+    free = ann.search(graph, q, 20, 20)
+    assert len(walked) > 1 and walked[0] == (20, len(q))
+    most = sum(n for _, n in walked)
+    walked.clear()
+    assert len(ann.search(graph, q, 20, 20, np.full(len(q), np.inf))) == len(free) and walked == [(20, len(q))]
+    walked.clear()
+    third = np.sort(q @ x.T, axis=1)[:, -3]
+    found = ann.search(graph, q, 20, 20, third)
+    assert sum(n for _, n in walked) < most
+    assert np.mean([len(set(a.tolist()) & set(np.argsort(-(x @ v))[:3].tolist())) / 3 for a, v in zip(found, q)]) >= 0.95
