@@ -111,6 +111,18 @@ def test_tokens_equal_the_library(spark):
     assert tokens.encode([None], path) == [b""]
 
 
+def test_a_text_outside_the_plain_range_leaves_its_neighbours_alone():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    own = Tokenizer.from_file(path)
+    texts = [None, "", "The same word\tSAME", "", "the same w\u00f6rd \u4e2d same", "\x0bsame same", " \n\r", "same <|endoftext|>same", "same\u00a0same \u00c9T\u00c9", None]
+    want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time from the caches
+        assert [np.frombuffer(x, "<u2").tolist() for x in tokens.encode(texts, path)] == want
+    assert tokens.encode([], path) == []
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_keys_walk_the_grid(dims, bits):
     points = np.array(list(itertools.product(range(1 << bits), repeat=dims)), dtype=np.int64)
