@@ -121,6 +121,8 @@ def test_a_text_outside_the_plain_range_leaves_its_neighbours_alone():
     for _ in range(2):  # the second time from the caches
         assert [np.frombuffer(x, "<u2").tolist() for x in tokens.encode(texts, path)] == want
     assert tokens.encode([], path) == []
+    tokens.forget()
+    assert not any(tokens.caches(path)) and [np.frombuffer(x, "<u2").tolist() for x in tokens.encode(texts, path)] == want
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
