@@ -53,3 +53,27 @@ def test_class_weights_balanced(spark):
     w = {r["label"]: r["weight"] for r in S.class_weights(df).collect()}
     assert abs(w[0] - 8 / 12) < 1e-6 and w[1] == 2.0  # reported rounded to 6 places
     assert S.scale_pos_weight(df).first()["scale_pos_weight"] == 3.0
+
+
+def test_split_reads_two_columns_unless_a_key_is_missing(spark):
+    """The hash of a row needs its other columns only where a key is NULL; the rows for the ranking are filtered by bucket first."""
+    df = spark.range(2000).select("id", (F.col("id") % 4 == 0).cast("long").alias("Default"), (F.col("id") * 2.0).alias("x"))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    named = S.stratified_split(df, materialize=False)
+    assert "no key " not in plan(named) and " IN" in plan(named)
+    some = df.withColumn("id", F.when(F.col("id") % 100 != 7, F.col("id")))
+    unnamed = S.stratified_split(some, materialize=False)
+    assert "no key " in plan(unnamed) and unnamed.count() == 2000
+    assert {r["split"]: r["count"] for r in named.groupBy("split").count().collect()} == {"train": 1200, "val": 400, "test": 400}
+    assert {r["split"]: r["count"] for r in unnamed.groupBy("split").count().collect()} == {"train": 1200, "val": 400, "test": 400}
+
+
+def test_spread_writes_with_methods_that_are_compiled(spark, monkeypatch):
+    from riskspark import session
+
+    seen, written = [], session.materialize
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    monkeypatch.setattr(session, "materialize", lambda df, name: seen.append(spark.conf.get(limit)) or written(df, name))
+    before = spark.conf.get(limit)
+    assert session.spread(spark.range(50), "spread-test").count() == 50
+    assert seen[0] == "8000" and spark.conf.get(limit) == before
