@@ -59,10 +59,10 @@ def test_split_reads_two_columns_unless_a_key_is_missing(spark):
     """The hash of a row needs its other columns only where a key is NULL; the rows for the ranking are filtered by bucket first."""
     df = spark.range(2000).select("id", (F.col("id") % 4 == 0).cast("long").alias("Default"), (F.col("id") * 2.0).alias("x"))
     plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
-    named = S.stratified_split(df, materialize=False)
+    named = S.stratified_split(df, prefix_len=1, materialize=False)
     assert "no key " not in plan(named) and " IN" in plan(named)
     some = df.withColumn("id", F.when(F.col("id") % 100 != 7, F.col("id")))
-    unnamed = S.stratified_split(some, materialize=False)
+    unnamed = S.stratified_split(some, prefix_len=1, materialize=False)
     assert "no key " in plan(unnamed) and unnamed.count() == 2000
     assert {r["split"]: r["count"] for r in named.groupBy("split").count().collect()} == {"train": 1200, "val": 400, "test": 400}
     assert {r["split"]: r["count"] for r in unnamed.groupBy("split").count().collect()} == {"train": 1200, "val": 400, "test": 400}
